@@ -1,11 +1,12 @@
 """Language-model scoring with a probabilistic suffix tree (operator 2).
 
-Symbols are bytes of the lower-cased words, each ended by a space, and an end symbol after the last. Contexts of up to
-``DEPTH`` symbols are counted over all training texts. A context is a candidate if its share of all positions is at
-least ``CONTEXT_SHARE`` (so a depth has at most 1/CONTEXT_SHARE of them, whatever the input), and a state of the tree if
-its next-symbol distribution diverges from that of its longest suffix (log-likelihood gain of at least PENALTY ln N) or
-a longer state needs it. A state's distribution is smoothed with that of its suffix; a position is scored by the state
-that is the longest suffix of what precedes it.
+The symbols are the frequent words (a share of at least SYMBOL_SHARE of all tokens), a class for each pair of last bytes
+of the other words, and the end of a text. Contexts of up to DEPTH symbols are counted over all training texts. A
+context is a candidate if its share of all positions is at least CONTEXT_SHARE (so a depth has at most 1/CONTEXT_SHARE
+of them, whatever the input), and a state of the tree if its next-symbol distribution diverges from that of its longest
+suffix (a log-likelihood gain of at least PENALTY ln N) or a longer state needs it. A state's distribution is smoothed
+with that of its suffix, the root's is the unigram base. A token is scored by the state that is the longest suffix of
+what precedes it; a word of a class has its unigram share of the class.
 """
 
 from __future__ import annotations
@@ -20,46 +21,16 @@ from pyspark.sql import functions as F
 
 from .shared import LOWER_NP, SPACES, arrow, batch_of, fold_of, mix, runs, slices, span_hashes, stored, table, texts_of
 
-DEPTH = 5
-CONTEXT_SHARE, ENTRY_SHARE, PENALTY, SMOOTHING = 4e-6, 1e-6, 2.0, 2.0
+DEPTH = 2
+SYMBOL_SHARE, CONTEXT_SHARE, ENTRY_SHARE, PENALTY, SMOOTHING = 1e-4, 1e-5, 1e-6, 1.0, 50.0
 #: Words of at least this share of all tokens (at most 1/WORD_SHARE) are sent to all tasks; others are joined.
 WORD_SHARE = 1e-6
-COUNTS = "kind int, gram long, word binary, n long"
-SCORES = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+WORDS, GRAMS = "word binary, n long", "gram long, n long"
+SCORES = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, gain double"
 RARE = "rid long, word binary, n long"
 
-_PAD, _START, _END = 0, 2, 10
-_MAP = LOWER_NP.copy()
-_MAP[SPACES] = 32
-_MAP[[_PAD, _START]] = 1
-
-
-def stream(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all texts: DEPTH pads and a start symbol, then words ended by a space, then the end; and which are scored."""
-    n, head = len(off) - 1, DEPTH + 1
-    out = np.zeros(len(buf) + n * (head + 2), np.uint8)
-    mapped = _MAP[buf]
-    at = 0
-    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-        at += head
-        out[at - 1] = _START
-        out[at : at + b - a] = mapped[a:b]
-        at += b - a
-        out[at], out[at + 1] = 32, _END
-        at += 2
-    space = out == 32
-    drop = np.zeros(len(out), bool)
-    drop[1:] = space[1:] & (space[:-1] | (out[:-1] == _START))
-    out = out[~drop]
-    return out, (out != _PAD) & (out != _START)
-
-
-def grams(symbols: np.ndarray) -> np.ndarray:
-    """Of each position its symbol in the lowest byte, the symbol before it in the next, and so on."""
-    g = symbols.astype(np.uint64)
-    for k in range(1, DEPTH + 1):
-        g[k:] |= symbols[:-k].astype(np.uint64) << np.uint64(8 * k)
-    return g
+#: Symbols: 0 start, 1 end, from 2 frequent words, from _CLASS pairs of bytes; each has _BITS bits of a gram.
+_END, _CLASS, _BITS, _SYMBOLS = 1, 1 << 17, 20, (1 << 17) + (1 << 16)
 
 
 def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,31 +74,21 @@ class _Counter:
             self.held = len(keys)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow(COUNTS)
-    by_gram, by_word, ends = _Counter(), _Counter(), 0
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counter, ends = _Counter(), 0
     for b in batches:
         buf, off = texts_of(b.column(0))
         ends += b.num_rows
         for i, j in slices(off):
-            own, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-            symbols, scored = stream(own, o)
-            by_gram.add(*np.unique(grams(symbols)[scored], return_counts=True))
-            low, starts, stops, _, h = words_of(own, o)
+            low, starts, stops, _, h = words_of(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             keys, first, n = np.unique(h, return_index=True, return_counts=True)
-            by_word.add(keys, n, spans(low, starts[first], stops[first]))
-    by_gram.merge()
-    by_word.merge()
-    step = 1 << 17
-    for kind, c in ((0, by_gram), (1, by_word)):
-        keys, counts = (c.keys or [np.zeros(0, np.uint64)])[0], (c.counts or [np.zeros(0, np.int64)])[0]
-        for a in range(0, len(keys), step):
-            n = min(step, len(keys) - a)
-            gram = pa.array(keys[a : a + n].view(np.int64)) if kind == 0 else pa.nulls(n, pa.int64())
-            word = pa.nulls(n, pa.binary()) if kind == 0 else c.words[0].slice(a, n)
-            yield batch_of(schema, pa.array(np.full(n, kind), pa.int32()), gram, word, counts[a : a + n])
+            counter.add(keys, n, spans(low, starts[first], stops[first]))
+    counter.merge()
+    for words, counts in zip(counter.words, counter.counts):
+        for a in range(0, len(counts), 1 << 17):
+            yield batch_of(arrow(WORDS), words.slice(a, 1 << 17), counts[a : a + (1 << 17)])
     if ends:
-        yield batch_of(schema, [1], pa.nulls(1, pa.int64()), [b""], [ends])  # the end token
+        yield batch_of(arrow(WORDS), [b""], [ends])  # the end token
 
 
 class Table:
@@ -167,127 +128,172 @@ class Table:
         return found, np.where(found, self.values[slot], np.float32(0))
 
 
+class Lexicon(NamedTuple):
+    """Frequent words with their counts and symbols (0: none of its own), and the unigram base."""
+
+    hashes: np.ndarray  # sorted
+    counts: np.ndarray
+    symbols: np.ndarray
+    end: int  # count of the end token
+    tokens: int
+    distinct: int
+    root: np.ndarray  # log10 base probability of each symbol
+
+    def log10(self, c: np.ndarray | float) -> np.ndarray | float:
+        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts (0: not frequent) and symbols (0: none) of words."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = self.hashes[k] == h
+        return np.where(hit, self.counts[k], 0), np.where(hit, self.symbols[k], 0)
+
+
+class Text(NamedTuple):
+    """Words of a slice of texts, and the grams of all tokens with the texts they belong to."""
+
+    low: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    doc: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
+    grams: np.ndarray
+    owner: np.ndarray
+
+
+def read(lexicon: Lexicon, buf: np.ndarray, off: np.ndarray) -> Text:
+    low, starts, ends, doc, h = words_of(buf, off)
+    counts, own = lexicon.look_up(h)
+    last = low[ends - 1].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+    before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)] if len(ends) else 0, 0).astype(np.int64)
+    n = len(off) - 1
+    words = np.bincount(doc, minlength=n)
+    symbols = np.full(len(starts) + n, _END, np.uint64)
+    symbols[np.arange(len(starts)) + doc] = np.where(own > 0, own, _CLASS + (before << 8) + last).astype(np.uint64)
+    owner = np.repeat(np.arange(n), words + 1)
+    first = np.concatenate([[0], np.cumsum(words + 1)[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
+    grams, back = symbols.copy(), symbols
+    for k in range(1, DEPTH + 1):
+        back = np.concatenate([np.zeros(1, np.uint64), back[:-1]])
+        back[first] = 0  # the start, also before itself
+        grams |= back << np.uint64(_BITS * k)
+    return Text(low, starts, ends, doc, h, counts, grams, owner)
+
+
+def _count_grams(lexicon: Lexicon) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter()
+        for b in batches:
+            buf, off = texts_of(b.column(0))
+            for i, j in slices(off):
+                counter.add(*np.unique(read(lexicon, buf[off[i] : off[j]], off[i : j + 1] - off[i]).grams, return_counts=True))
+        counter.merge()
+        for keys, counts in zip(counter.keys, counter.counts):
+            for a in range(0, len(keys), 1 << 17):
+                yield batch_of(arrow(GRAMS), keys[a : a + (1 << 17)].view(np.int64), counts[a : a + (1 << 17)])
+
+    return run
+
+
 class Tree(NamedTuple):
-    root: np.ndarray  # log10 probability of each byte without context
     entries: list[Table]  # for depth 1..: (context, symbol) -> log10 probability
     back: list[Table]  # for depth 1..: context -> log10 weight of its suffix's distribution
 
 
-def build(rows: list[tuple[int, int, int, list[tuple[int, int]]]], penalty: float = PENALTY, smoothing: float = SMOOTHING) -> Tree:
-    """The tree of candidate contexts: (depth, context, count, [(symbol, count)]); depth 0 has all symbols."""
-    root = np.full(256, 0.5)
-    positions = 0
-    levels: list[dict] = []
-    for d in range(DEPTH + 1):
-        own = sorted((r for r in rows if r[0] == d), key=lambda r: r[1])
-        ctx = np.array([r[1] for r in own], np.uint64)
-        total = np.array([r[2] for r in own], np.float64)
-        sizes = np.array([len(r[3]) for r in own], np.int64)
-        owner = np.repeat(np.arange(len(own)), sizes)
-        symbol = np.array([s for r in own for s, _ in r[3]], np.uint64)
-        n = np.array([c for r in own for _, c in r[3]], np.float64)
-        levels.append({"ctx": ctx, "total": total, "owner": owner, "key": (ctx[owner] << np.uint64(8)) | symbol, "n": n})
-        if d == 0 and len(own):
-            root[symbol.astype(np.int64)] += n
-            positions = total[0]
-    p0 = root / root.sum()
-    need: dict[int, np.ndarray] = {}
-    for d in range(1, DEPTH + 1):
-        # Smoothed distribution of each candidate, with that of its suffix (a candidate too, as it is at least as frequent).
-        v, up = levels[d], levels[d - 1]
-        listed = np.bincount(v["owner"], v["n"], len(v["ctx"]))
-        v["back"] = (v["total"] - listed + smoothing) / (v["total"] + smoothing)
-        key_up = v["key"] & np.uint64((1 << (8 * d)) - 1)
-        suffix = v["ctx"] & np.uint64((1 << (8 * (d - 1))) - 1)
-        v["parent"] = np.searchsorted(up["ctx"], suffix)
-        p_up = _prob(levels, p0, d - 1, key_up, v["parent"][v["owner"]])
-        v["p"] = v["n"] / (v["total"] + smoothing)[v["owner"]] + v["back"][v["owner"]] * p_up
-        gain = np.bincount(v["owner"], v["n"] * np.log(np.maximum(v["n"] / v["total"][v["owner"]], 1e-12) / p_up), len(v["ctx"]))
-        need[d] = gain >= penalty * np.log(max(positions, 2))
-    for d in range(DEPTH, 1, -1):  # suffixes of states are states
-        need[d - 1][np.unique(levels[d]["parent"][need[d]])] = True
-    entries, back = [], []
-    for d in range(1, DEPTH + 1):
-        v = levels[d]
-        kept = need[d][v["owner"]] if len(v["owner"]) else np.zeros(0, bool)
-        entries.append(Table(v["key"][kept], np.log10(v["p"][kept])))
-        back.append(Table(v["ctx"][need[d]], np.log10(v["back"][need[d]])))
-    return Tree(np.log10(p0).astype(np.float32), entries, back)
+def _low(keys: np.ndarray, symbols: int) -> np.ndarray:
+    return keys & np.uint64((1 << (_BITS * symbols)) - 1)
+
 
+def build(contexts: list[tuple[np.ndarray, np.ndarray]], entries: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, penalty: float = PENALTY, smoothing: float = SMOOTHING) -> Tree:
+    """The tree of, for each depth from 1, candidate contexts with their counts and (context, symbol) grams with theirs.
 
-def _prob(levels: list[dict], p0: np.ndarray, d: int, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    ``root``: log10 probability of each symbol without context.
+    """
+    levels: list[dict] = [{}]
+    positions = max((t.sum() for _, t in contexts), default=0)
+    for d, ((ctx, total), (key, n)) in enumerate(zip(contexts, entries), 1):
+        order = np.argsort(ctx)
+        v = {"ctx": ctx[order], "total": total[order].astype(np.float64)}
+        up = levels[d - 1]
+        if d > 1:  # a candidate's suffix is one, as it is at least as frequent
+            v["parent"] = _find(up["ctx"], _low(v["ctx"], d - 1))
+        order = np.argsort(key)
+        key, n = key[order], n[order].astype(np.float64)
+        owner = _find(v["ctx"], key >> np.uint64(_BITS))
+        v["key"], v["n"], v["owner"] = key[owner >= 0], n[owner >= 0], owner[owner >= 0]
+        size = len(v["ctx"])
+        v["back"] = (v["total"] - np.bincount(v["owner"], v["n"], size) + smoothing) / (v["total"] + smoothing)
+        below = _prob(levels, root, d - 1, _low(v["key"], d), v["parent"][v["owner"]] if d > 1 else None)
+        v["p"] = v["n"] / (v["total"] + smoothing)[v["owner"]] + v["back"][v["owner"]] * below
+        v["need"] = np.bincount(v["owner"], v["n"] * np.log(v["p"] / below), size) >= penalty * np.log(max(positions, 2))
+        levels.append(v)
+    for d in range(len(contexts), 1, -1):  # suffixes of states are states
+        levels[d - 1]["need"][np.unique(levels[d]["parent"][levels[d]["need"]])] = True
+    kept = [v["need"][v["owner"]] for v in levels[1:]]
+    return Tree([Table(v["key"][k], np.log10(v["p"][k])) for v, k in zip(levels[1:], kept)], [Table(v["ctx"][v["need"]], np.log10(v["back"][v["need"]])) for v in levels[1:]])
+
+
+def _find(where: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """Positions in a sorted array, -1 for what isn't there."""
+    if not len(where):
+        return np.full(len(what), -1)
+    at = np.minimum(np.searchsorted(where, what), len(where) - 1)
+    return np.where(where[at] == what, at, -1)
+
+
+def _prob(levels: list[dict], root: np.ndarray, d: int, keys: np.ndarray, owner: np.ndarray | None) -> np.ndarray:
     """Smoothed probabilities at depth ``d``; ``owner``: the contexts' numbers in that level."""
     if d == 0:
-        return p0[(keys & np.uint64(255)).astype(np.int64)]
+        return 10.0 ** root[_low(keys, 1).astype(np.int64)]
     v = levels[d]
-    at = np.minimum(np.searchsorted(v["key"], keys), max(len(v["key"]) - 1, 0))
-    found = v["key"][at] == keys if len(v["key"]) else np.zeros(len(keys), bool)
-    out = np.empty(len(keys))
-    out[found] = v["p"][at[found]]
-    rest = ~found
+    at = _find(v["key"], keys)
+    out = np.zeros(len(keys))
+    out[at >= 0] = v["p"][at[at >= 0]]
+    rest = at < 0
     if rest.any():
-        up = _prob(levels, p0, d - 1, keys[rest] & np.uint64((1 << (8 * d)) - 1), v["parent"][owner[rest]])
-        out[rest] = v["back"][owner[rest]] * up
+        out[rest] = v["back"][owner[rest]] * _prob(levels, root, d - 1, _low(keys[rest], d), v["parent"][owner[rest]] if d > 1 else None)
     return out
 
 
-def log_probs(tree: Tree, g: np.ndarray) -> np.ndarray:
-    """log10 probability of each position's symbol after the longest state that is a suffix of its context."""
-    out = np.zeros(len(g), np.float32)
-    left = np.arange(len(g))
+def log_gains(tree: Tree, root: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """log10 of each symbol's probability after the longest state that is a suffix of its context, over the root's."""
+    out = np.zeros(len(grams), np.float64)
+    left = np.arange(len(grams))
     for d in range(DEPTH, 0, -1):
-        key = g[left] & np.uint64((1 << (8 * (d + 1))) - 1)
+        key = _low(grams[left], d + 1)
         found, p = tree.entries[d - 1].find(key)
-        out[left[found]] += p[found]
+        out[left[found]] += p[found] - root[_low(key[found], 1).astype(np.int64)]
         left, key = left[~found], key[~found]
-        out[left] += tree.back[d - 1].find(key >> np.uint64(8))[1]
-    out[left] += tree.root[(g[left] & np.uint64(255)).astype(np.int64)]
+        out[left] += tree.back[d - 1].find(key >> np.uint64(_BITS))[1]
     return out
 
 
-class Frequent(NamedTuple):
-    hashes: np.ndarray  # sorted
-    counts: np.ndarray
-    end: int  # count of the end token
-    tokens: int
-    distinct: int
-
-    def log10(self, c: np.ndarray | float) -> np.ndarray | float:
-        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
-
-    def counts_of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[k] == h, self.counts[k], 0)
-
-
-def _score(tree: Tree, frequent: Frequent) -> Callable:
+def _score(tree: Tree, lexicon: Lexicon) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = texts_of(b.column(3))
-            for i, j in slices(off, 2 << 20):
-                own, o, n = buf[off[i] : off[j]], off[i : j + 1] - off[i], j - i
-                symbols, scored = stream(own, o)
-                owner = (np.cumsum(symbols == _START) - 1)[scored]
-                score = np.bincount(owner, log_probs(tree, grams(symbols)[scored]), n)
-                _, _, _, doc, h = words_of(own, o)
-                c = frequent.counts_of(h)
-                tokens = np.bincount(doc, minlength=n) + 1
-                known = np.bincount(doc, c > 0, n).astype(np.int64) + int(frequent.end > 0)
-                base = np.bincount(doc, np.where(c > 0, frequent.log10(c), 0.0), n) + frequent.log10(frequent.end)
-                yield batch_of(arrow(SCORES), *(b.column(k).slice(i, n) for k in range(3)), tokens.astype(np.int64), known, base, score)
+            for i, j in slices(off):
+                n = j - i
+                t = read(lexicon, buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                gain = np.bincount(t.owner, log_gains(tree, lexicon.root, t.grams), n)
+                tokens = np.bincount(t.doc, minlength=n) + 1
+                known = np.bincount(t.doc, t.counts > 0, n).astype(np.int64) + int(lexicon.end > 0)
+                base = np.bincount(t.doc, np.where(t.counts > 0, lexicon.log10(t.counts), 0.0), n) + lexicon.log10(lexicon.end)
+                yield batch_of(arrow(SCORES), *(b.column(k).slice(i, n) for k in range(3)), tokens.astype(np.int64), known, base, gain)
 
     return run
 
 
-def _rare(frequent: Frequent) -> Callable:
+def _rare(lexicon: Lexicon) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = texts_of(b.column(1))
             for i, j in slices(off):
                 low, starts, ends, doc, h = words_of(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                rare = np.flatnonzero(frequent.counts_of(h) == 0)
+                rare = np.flatnonzero(lexicon.look_up(h)[0] == 0)
                 _, first, n = np.unique(mix(doc[rare].astype(np.uint64) + np.uint64(1)) ^ h[rare], return_index=True, return_counts=True)
                 at = rare[first]
                 yield batch_of(arrow(RARE), b.column(0).take(pa.array(doc[at] + i)), spans(low, starts[at], ends[at]), n.astype(np.int64))
@@ -295,53 +301,73 @@ def _rare(frequent: Frequent) -> Callable:
     return run
 
 
+def _lexicon(words: DataFrame) -> tuple[Lexicon, float]:
+    """The lexicon of counted words, and the count from which a word is in it."""
+    said = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0)).alias("end")).first()
+    least, own = max(1.0, WORD_SHARE * said["tokens"]), SYMBOL_SHARE * said["tokens"]
+    words = words.filter(F.length("word") > 0)
+    often = words.filter(F.col("n") >= least).toPandas()  # at most 1/WORD_SHARE rows
+    ending = F.when(F.length("word") > 1, F.substring("word", -2, 2)).otherwise(F.concat(F.unhex(F.lit("00")), F.substring("word", -1, 1)))
+    classes = words.filter(F.col("n") < own).groupBy(ending.alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # at most 65,536 rows
+    total = said["tokens"] + 0.5 * (said["distinct"] + 1)
+    mass = np.full(_SYMBOLS, 0.5)
+    mass[_END] += said["end"]
+    for r in classes:
+        mass[_CLASS + int.from_bytes(bytes(r["ending"]), "big")] += r["n"] + 0.5 * r["v"]
+    counts = often["n"].to_numpy(np.int64)
+    order = np.lexsort((often["word"].to_numpy(), -counts)) if len(counts) else np.zeros(0, np.int64)
+    symbols = np.zeros(len(counts), np.int64)
+    frequent = order[: int((counts >= own).sum())]
+    symbols[frequent] = np.arange(2, 2 + len(frequent))
+    mass[symbols[frequent]] += counts[frequent]
+    spelled = [bytes(w) for w in often["word"]]
+    stops = np.cumsum([len(w) for w in spelled]).astype(np.int64)
+    h = span_hashes(np.frombuffer(b"".join(spelled), np.uint8), np.concatenate([[0], stops[:-1]]).astype(np.int64), stops) if spelled else np.zeros(0, np.uint64)
+    by = np.argsort(h)
+    return Lexicon(h[by], counts[by], symbols[by], int(said["end"]), int(said["tokens"]), int(said["distinct"]), np.log10(mass / total)), least
+
+
+def _tree(grams: DataFrame, lexicon: Lexicon) -> Tree:
+    """What the driver gathers is at most 1/CONTEXT_SHARE contexts and 1/ENTRY_SHARE entries for each depth."""
+    contexts, entries = [], []
+    for d in range(1, DEPTH + 1):
+        low = F.lit((1 << (_BITS * (d + 1))) - 1)
+        joint = grams if d == DEPTH else grams.groupBy(F.col("gram").bitwiseAND(low).alias("gram")).agg(F.sum("n").alias("n"))
+        ctx = grams.groupBy(F.shiftright(F.col("gram").bitwiseAND(low), _BITS).alias("gram")).agg(F.sum("n").alias("n"))
+        for out, df, share in ((entries, joint, ENTRY_SHARE), (contexts, ctx, CONTEXT_SHARE)):
+            found = df.filter(F.col("n") >= share * lexicon.tokens).toPandas()
+            out.append((found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)))
+    return build(contexts, entries, lexicon.root)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fold: tuple[int, int] = (5, 1)) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
     Learns from the rows outside the held-out fold (null ids are outside). Null texts count as empty: an empty text
-    is its end alone. Repeated rows count and are scored as often as they occur. Without training rows all symbols
-    are equally likely.
+    is its end alone. Repeated rows count and are scored as often as they occur. Without training rows every token
+    is unknown and the score is the base.
     """
     held = F.coalesce(fold_of(F.col(id_col), fold[0]) == fold[1], F.lit(False))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
-    # One pass over the training texts; its partial counts, merged, are written once and used three times.
-    counts = stored(rows.filter("not held").select("text").mapInArrow(_count, COUNTS).groupBy("kind", "gram", "word").agg(F.sum("n").alias("n")))
-    words = counts.filter("kind = 1").select("word", "n")
-    said = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0)).alias("end")).first()
-    least = max(1.0, WORD_SHARE * said["tokens"])
-    often = words.filter((F.col("n") >= least) & (F.length("word") > 0)).toPandas()  # at most 1/WORD_SHARE rows
-    frequent = _frequent(often["word"].tolist(), often["n"].to_numpy(np.int64), said["end"], said["tokens"], said["distinct"])
-    tree = build(_candidates(counts.filter("kind = 0").select("gram", "n")))
-    scored = rows.mapInArrow(_score(tree, frequent), SCORES)
+    train = rows.filter("not held").select("text")
+    # Partial counts of each task, merged, are written once and used several times.
+    words = stored(train.mapInArrow(_count_words, WORDS).groupBy("word").agg(F.sum("n").alias("n")))
+    lexicon, least = _lexicon(words)
+    grams = stored(train.mapInArrow(_count_grams(lexicon), GRAMS).groupBy("gram").agg(F.sum("n").alias("n")))
+    tree = _tree(grams, lexicon)
+    scored = rows.mapInArrow(_score(tree, lexicon), SCORES)
     # Rare words only: none of them is a hot key, and no position is shuffled, only different (document, word) pairs.
-    rare = rows.select("rid", "text").mapInArrow(_rare(frequent), RARE).join(words.filter((F.col("n") < least) & (F.length("word") > 0)).withColumnRenamed("n", "c"), "word", "left")
-    total = said["tokens"] + 0.5 * (said["distinct"] + 1)
+    rare = rows.select("rid", "text").mapInArrow(_rare(lexicon), RARE).join(words.filter((F.col("n") < least) & (F.length("word") > 0)).withColumnRenamed("n", "c"), "word", "left")
+    total = lexicon.tokens + 0.5 * (lexicon.distinct + 1)
     extra = rare.groupBy("rid").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(total))).alias("plus")
     )
+    base = F.col("base") + F.coalesce("plus", F.lit(0.0))
     return scored.join(extra, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(said["tokens"])).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("plus", F.lit(0.0))).alias("base_score"), "score",
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(lexicon.tokens).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (base + F.col("gain")).alias("score"),
     )
 
 
-def _frequent(words: list[bytes], counts: np.ndarray, end: int, tokens: int, distinct: int) -> Frequent:
-    buf = np.frombuffer(b"".join(bytes(w) for w in words), np.uint8)
-    stops = np.cumsum([len(w) for w in words]).astype(np.int64)
-    h = span_hashes(buf, np.concatenate([[0], stops[:-1]]).astype(np.int64), stops) if len(words) else np.zeros(0, np.uint64)
-    order = np.argsort(h)
-    return Frequent(h[order], counts[order], int(end), int(tokens), int(distinct))
-
-
-def _candidates(grams: DataFrame) -> list[tuple]:
-    """Contexts of at least CONTEXT_SHARE of all positions with their symbols: at most (DEPTH + 1) / CONTEXT_SHARE rows."""
-    positions = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    depths = F.array(*[F.struct(F.lit(d).alias("d"), F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("key")) for d in range(DEPTH + 1)])
-    joint = grams.select("n", F.inline(depths)).groupBy("d", "key").agg(F.sum("n").alias("n"))
-    entry = F.when((F.col("n") >= ENTRY_SHARE * positions) | (F.col("d") == 0), F.struct(F.col("key").bitwiseAND(F.lit(255)).alias("s"), F.col("n").alias("c")))
-    found = joint.groupBy("d", F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.collect_list(entry).alias("entries")).filter(F.col("total") >= CONTEXT_SHARE * positions)
-    return [(r["d"], r["ctx"], r["total"], sorted((e["s"], e["c"]) for e in r["entries"])) for r in found.collect()]
-
-
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
