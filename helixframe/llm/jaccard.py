@@ -362,7 +362,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     marks = near.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rid").cast("decimal(20,0)")).alias("m1"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("m2"))
     own = stored(near.join(marks.groupBy("n", "m1", "m2").agg(F.min("path").alias("path")).select("path", "n"), "path").select("path", "rid", "n"))
     paths = own.groupBy("rid").agg(F.collect_set("path").alias("paths"))
-    sets = texts.select("rid", "text").join(paths.select("rid"), "rid", "left_semi").mapInArrow(_sets, "rid long, grams binary")
+    # The same plan at every size: what survives grows with the input, so it isn't broadcast where it happens to be small.
+    sets = texts.select("rid", "text").join(paths.select("rid").hint("merge"), "rid", "left_semi").mapInArrow(_sets, "rid long, grams binary")
     compared = _gathered(_cells(own).join(sets.join(paths, "rid"), "rid").select("path", "i", "j", "rid", "block", "grams", "paths"))
     found = stored(compared.mapInArrow(_verify(threshold), FOUND))
     links = found.filter("n > 0").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n_links"))
