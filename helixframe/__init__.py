@@ -1,0 +1 @@
+"""Probabilistic sequence analytics as DataFrame operators."""

@@ -1,13 +1,19 @@
-"""Query registry: name -> (callable, DuckDB SQL)."""
+"""All queries of the library, by name."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import base, singlecell, wave  # noqa: F401
 
-def oracle_sql():
-    return {}
 
+def queries() -> dict:
+    return dict(base.QUERIES)
 
-def entry(spark):
-    raise NotImplementedError
+
+def oracle_sql() -> dict[str, str]:
+    return dict(base.ORACLE_SQL)
+
+
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
+    return base.QUERIES["sc_matrix_mean"](spark, sf_dir)
