@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import base, calls, sequence, singlecell, wave  # noqa: F401
+from .plans import alignments, base, calls, graphs, sequence, singlecell, wave  # noqa: F401
 
 
 def queries() -> dict:

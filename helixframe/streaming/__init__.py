@@ -1 +1 @@
-"""Structured Streaming versions of the incremental steps."""
+"""Structured Streaming versions of the incremental steps. The batch tool this follows has no streams; these are additions."""
