@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER_NP, arrow, batch_of, slices, span_hashes, table, texts_of, window_hashes
+from .shared import LOWER_NP, arrow, batch_of, slices, span_hashes, stored, table, texts_of, window_hashes
 
 WIDTH = 8
 #: Up to so many different windows (8 bytes each) the benchmark is sent to all tasks; beyond, all windows are shuffled.
@@ -86,11 +86,10 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> Template:
     begins = ~same
     begins[1:] |= stops[starts[1:]] > stops[ends[:-1]]
     ascii_upper = (buf >= 65) & (buf <= 90)
-    capital = ascii_upper[starts]
-    two = starts + 1 < len(buf)
-    capital |= two & np.append(upper2, False)[np.minimum(starts, max(len(buf) - 1, 0))] if len(buf) else False
-    second = np.minimum(starts + 1, max(len(buf) - 1, 0))
-    shouted = (ends - starts > 1) & ascii_upper[second] if len(buf) else np.zeros(0, bool)
+    wide = np.append(upper2, False)[: len(buf)]  # a capital of two bytes begins here
+    capital = ascii_upper[starts] | wide[starts]
+    second = starts + 1 + wide[starts]
+    shouted = (second < ends) & ascii_upper[np.minimum(second, len(buf) - 1)] if len(starts) else np.zeros(0, bool)
     name = ~number & capital & ~shouted & ~begins & (ends - starts > 1)
     unit = np.zeros(len(starts), bool)
     unit[1:] = number[:-1] & same[1:] & np.isin(values[1:], _UNIT_HASHES)
@@ -165,7 +164,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     wanted = np.sort(seen["hash"].to_numpy().astype(np.int64).view(np.uint64)) if small else None
     if small and not len(seen):
         return spark.createDataFrame([], "row long, doc_id long, item_id long, n_matched long, n_windows long, coverage double, n_slots long")
-    found = _rows(docs, id_col, text_col).mapInArrow(_emit(width, widths, wanted, False), WINDOWS)
+    # Used twice; texts are read once, and only windows of the benchmark are written (all windows beyond the bound).
+    found = stored(_rows(docs, id_col, text_col).mapInArrow(_emit(width, widths, wanted, False), WINDOWS))
     totals = bench.groupBy("item_row").agg(F.count("*").alias("n_windows"))
     # With a benchmark of a checked size, only windows that occur in it have left the scan; they meet it by a broadcast.
     side = F.broadcast if small else (lambda df: df)
