@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment as K
 from ..functions import sequence as Q
+from ..runtime import ratio
 from .records import multi_mapq, unique_mapq
 from .seeding import seed_join
 
@@ -27,7 +28,7 @@ def hits(reads: DataFrame, refs: DataFrame, *, k: int = 15, w: int = 10, max_occ
 def chained(found: DataFrame, config: K.ChainConfig = K.ChainConfig()) -> DataFrame:
     """Chains of each read. A read's anchors number at most its minimizers times the index's occurrence bound."""
     grouped = found.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("ref_id", "ref_pos", "query_pos", "same_strand"))).alias("a")).filter(F.size("a") >= config.min_anchors)
-    flat = grouped.select("read_id", *[F.transform("a", lambda x, f=f: x[f]).alias(f) for f in ("ref_id", "ref_pos", "query_pos", "same_strand")])
+    flat = grouped.select("read_id", *[F.col("a")[f].alias(f) for f in ("ref_id", "ref_pos", "query_pos", "same_strand")])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -82,4 +83,4 @@ def align(reads: DataFrame, refs: DataFrame, *, k: int = 15, w: int = 10, max_oc
 def alignment_stats(aligned: DataFrame, reads: DataFrame) -> DataFrame:
     p = aligned.filter("is_primary")
     s = p.agg(F.count("*").alias("aligned_reads"), F.avg("identity").alias("mean_identity"), F.avg("mapq").alias("mean_mapq"))
-    return s.join(F.broadcast(reads.agg(F.count("*").alias("reads")))).withColumn("mapping_rate", F.col("aligned_reads") / F.col("reads"))
+    return s.join(F.broadcast(reads.agg(F.count("*").alias("reads")))).withColumn("mapping_rate", ratio("aligned_reads", "reads"))

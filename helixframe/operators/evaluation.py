@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ratio
+
 
 def mapping_summary(calls: DataFrame) -> DataFrame:
     """Over (mapped, kind): primary, secondary, supplementary and unmapped records with rates."""
@@ -26,7 +28,6 @@ def truth_evaluation(calls: DataFrame, truth: DataFrame, tolerance: int) -> Data
     found = F.coalesce("mapped", F.lit(False))
     right = found & (F.col("chrom") == F.col("_c")) & (F.abs(F.col("pos") - F.col("_p")) <= tolerance)
     s = j.agg(F.count("*").alias("n_truth"), F.count_if(right).alias("tp"), F.count_if(found & ~right).alias("fp"), F.count_if(~found).alias("fn"))
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     s = s.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("n_truth")))
     return s.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
@@ -57,7 +58,7 @@ def baseline(a: DataFrame, b: DataFrame) -> DataFrame:
     j = concordance(a, b, 0)
     x, y = F.coalesce("mapped_a", F.lit(False)), F.coalesce("mapped_b", F.lit(False))
     s = j.agg(F.count("*").alias("n"), F.count_if(x & y).alias("n_both"), F.count_if(x & ~y).alias("n_only_a"), F.count_if(~x & y).alias("n_only_b"), F.count_if(~x & ~y).alias("n_neither"))
-    return s.withColumn("recall_a", F.col("n_both") / (F.col("n_both") + F.col("n_only_b"))).withColumn("recall_b", F.col("n_both") / (F.col("n_both") + F.col("n_only_a"))).withColumn("ratio", (F.col("n_both") + F.col("n_only_a")) / (F.col("n_both") + F.col("n_only_b")))
+    return s.withColumn("recall_a", ratio("n_both", F.col("n_both") + F.col("n_only_b"))).withColumn("recall_b", ratio("n_both", F.col("n_both") + F.col("n_only_a"))).withColumn("ratio", ratio(F.col("n_both") + F.col("n_only_a"), F.col("n_both") + F.col("n_only_b")))
 
 
 def position_correct(pos: Column, truth: Column, length: Column, *, least: int = 100, share: float = 0.01) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, ratio
 
 NEIGHBOURS = "src long, dst long, similarity double"
 
@@ -34,7 +34,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, block: int = 2048) -> Da
     block and passes on ``k`` rows a query, so no pair leaves it that can't be among the nearest.
     """
     n = [max(1, -(-df.count() // block)) for df in (queries, base)]
-    part = lambda df, own, other, names: df.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(own)).alias(names[0]), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).cast("long").alias(names[1]))
+    part = lambda df, own, other, names: df.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(own)).alias(names[0]), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))).alias(names[1]))
     q, b = part(queries, n[0], n[1], ("x", "y")), part(base, n[1], n[0], ("y", "x"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +108,7 @@ def knn_ivf(queries: DataFrame, base: DataFrame, k: int, *, lists: int, probes:
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(n, hits, recall) of found neighbours among the exact ones."""
     j = exact.select("src", "dst").join(found.select("src", "dst", F.lit(1).alias("_h")), ["src", "dst"], "left")
-    return j.agg(F.count("*").alias("n"), F.count("_h").alias("hits")).withColumn("recall", F.col("hits") / F.col("n"))
+    return j.agg(F.count("*").alias("n"), F.count("_h").alias("hits")).withColumn("recall", ratio("hits", "n"))
 
 
 def graph(neighbours: DataFrame, *, least: float = 0.0, most_edges: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ratio
+
 
 def occurrences(index: DataFrame, key: str = "kmer") -> DataFrame:
     return index.groupBy(key).agg(F.count("*").alias("n_occ"))
@@ -28,4 +30,4 @@ def seed_join(queries: DataFrame, index: DataFrame, *, max_occ: int = 5000, key:
 def index_stats(sequences: DataFrame, index: DataFrame, key: str = "kmer") -> DataFrame:
     """Distinct keys, minimizers and mean spacing."""
     s = index.agg(F.count_distinct(key).alias("n_keys"), F.count("*").alias("n_minimizers"))
-    return s.join(F.broadcast(sequences.agg(F.sum(F.length("seq")).alias("total_bases")))).withColumn("spacing", F.col("total_bases") / F.col("n_minimizers"))
+    return s.join(F.broadcast(sequences.agg(F.sum(F.length("seq")).alias("total_bases")))).withColumn("spacing", ratio("total_bases", "n_minimizers"))

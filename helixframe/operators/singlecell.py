@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ratio
 from .relational import entropy
 
 METHODS = ("mean", "max", "sum", "weighted")
@@ -33,7 +34,7 @@ def dense(m: DataFrame, paralogs: list[str]) -> DataFrame:
 
 def matrix_stats(m: DataFrame) -> DataFrame:
     s = m.agg(F.count_distinct("cell").alias("n_cells"), F.count_distinct("paralog").alias("n_paralogs"), F.count("*").alias("nnz"), F.sum("read_count").alias("total_reads"))
-    return s.withColumn("sparsity", 1 - F.col("nnz") / (F.col("n_cells") * F.col("n_paralogs")))
+    return s.withColumn("sparsity", F.when(F.col("nnz") > 0, 1 - ratio(F.col("nnz"), F.col("n_cells") * F.col("n_paralogs"))).otherwise(0.0))
 
 
 def dominance(values: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, ratio
 from .relational import entropy, normalise, top_k, top_two, within_distance
 
 
@@ -117,7 +117,7 @@ def classify(wave: DataFrame, *, converged: float = 0.99, gap: float = 0.05, low
 def collapse_stats(classified: DataFrame) -> DataFrame:
     kinds = ("Orphaned", "Converged", "Ambiguous", "LowConfidence", "None")
     s = classified.agg(F.count("*").alias("n_reads"), *[F.count_if(F.col("dropout") == k).alias(f"n_{k.lower()}") for k in kinds], F.avg("max_p").alias("mean_max_p"), F.min("max_p").alias("min_max_p"), F.max("max_p").alias("max_max_p"), F.avg("entropy").alias("mean_entropy"))
-    return s.withColumn("collapse_rate", F.col("n_converged") / F.col("n_reads")).withColumn("dropout_rate", 1 - (F.col("n_converged") + F.col("n_none")) / F.col("n_reads"))
+    return s.withColumn("collapse_rate", ratio("n_converged", "n_reads")).withColumn("dropout_rate", F.when(F.col("n_reads") > 0, 1 - ratio(F.col("n_converged") + F.col("n_none"), "n_reads")).otherwise(0.0))
 
 
 def refine(wave: DataFrame, children: DataFrame, *, least: float = 0.01, most: int = 50, prior: str | None = None) -> DataFrame:
@@ -132,7 +132,7 @@ def refine(wave: DataFrame, children: DataFrame, *, least: float = 0.01, most: i
 
 def should_refine(wave: DataFrame, *, sure: float = 0.9, share: float = 0.8) -> DataFrame:
     s = wave.groupBy("read_id").agg(F.max("p").alias("m")).agg(F.count("*").alias("n_reads"), F.count_if(F.col("m") >= sure).alias("n_sure"))
-    return s.withColumn("share", F.col("n_sure") / F.col("n_reads")).withColumn("refine", F.col("share") >= share)
+    return s.withColumn("share", ratio("n_sure", "n_reads")).withColumn("refine", F.col("share") >= share)
 
 
 def run_levels(reads: DataFrame, levels: list[DataFrame], children: list[DataFrame], *, config: EmConfig = EmConfig(), **terms) -> DataFrame:

@@ -19,6 +19,12 @@ def q(x: Column | str, digits: int = 6) -> Column:
     return F.round((F.col(x) if isinstance(x, str) else x).cast("double"), digits) + F.lit(0.0)
 
 
+def ratio(a: Column | str, b: Column | str) -> Column:
+    """``a`` over ``b``; 0 where ``b`` is 0, as for empty tables."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.when(b != 0, a / b).otherwise(F.lit(0.0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which all executors share; a temporary folder only where it is unset (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("helixframe.shared.dir", None)

@@ -14,8 +14,8 @@ from ..runtime import shared_dir
 def hourly(events: DataFrame, *, late: str = "2 days") -> DataFrame:
     """Events by type and hour, with a watermark for late ones."""
     return (
-        events.withWatermark("ts", late).groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-        .select("event_type", F.col("w.start").alias("hour"), "n", "total")
+        events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        .select("event_type", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total")
     )
 
 
