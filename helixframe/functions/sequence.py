@@ -72,8 +72,8 @@ def hash_kmer(x: np.ndarray, seed: int = HASH_SEED) -> np.ndarray:
         return x + (x << u(31))
 
 
-def minimizers_of(seq: bytes, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, position and strand (True: forward) of a sequence's minimizers; an N restarts k-mers and windows."""
+def minimizers_of(seq: bytes, k: int, w: int, mix=hash_kmer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (or code, where ``mix`` is None), position and strand (True: forward) of a sequence's minimizers; an N restarts k-mers and windows."""
     code = _CODE[np.frombuffer(seq, np.uint8)]
     n = len(code) - k + 1
     empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -86,7 +86,8 @@ def minimizers_of(seq: bytes, k: int, w: int) -> tuple[np.ndarray, np.ndarray, n
         rev |= (np.uint64(3) - c) << np.uint64(2 * i)
     bad = np.concatenate([[0], np.cumsum(code > 3)])
     good = bad[k:] == bad[:-k]
-    h = hash_kmer(np.minimum(fwd, rev))
+    h = np.minimum(fwd, rev)
+    h = mix(h) if mix else h
     starts = np.flatnonzero(good & ~np.concatenate([[False], good[:-1]]))
     ends = np.flatnonzero(good & ~np.concatenate([good[1:], [False]])) + 1
     at: list[np.ndarray] = []
@@ -103,12 +104,12 @@ def minimizers_of(seq: bytes, k: int, w: int) -> tuple[np.ndarray, np.ndarray, n
     return h[p], p, fwd[p] <= rev[p]
 
 
-def minimizer_kernel(k: int, w: int):
+def minimizer_kernel(k: int, w: int, mix=hash_kmer):
     """For mapInArrow over (key, seq): rows (key, hash, pos, forward); hashes as signed 64-bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [minimizers_of((s or "").encode(), k, w) for s in b.column(1).to_pylist()]
+            found = [minimizers_of((s or "").encode(), k, w, mix) for s in b.column(1).to_pylist()]
             size = [len(f[1]) for f in found]
             keys = b.column(0).take(pa.array(np.repeat(np.arange(len(found)), size)))
             if not found:
@@ -126,6 +127,88 @@ def hashed_minimizers(df: DataFrame, key: str, seq: str, *, k: int = 19, w: int
     return out.withColumnRenamed("key", key)
 
 
+def coded_minimizers(df: DataFrame, key: str, seq: str, *, k: int = 11, w: int = 5) -> DataFrame:
+    """(key, kmer, pos, same_strand) as :func:`minimizers` gives them, with k-mers as 2-bit codes (k up to 31).
+
+    Codes order as strings do, so the kernel finds the same minimizers without a row for each k-mer.
+    """
+    out = df.select(key, seq).mapInArrow(minimizer_kernel(k, w, None), "key long, hash long, pos long, forward boolean")
+    return out.select(F.col("key").alias(key), F.col("hash").alias("kmer"), "pos", F.col("forward").alias("same_strand"))
+
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Base codes (4: none) of all sequences of a batch and their offsets."""
+    texts = [(s or "").encode() for s in col.to_pylist()]
+    return _CODE[np.frombuffer(b"".join(texts), np.uint8)], np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+def _codes(code: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, sequence numbers and 2-bit codes of the k-mers without N."""
+    n = len(code) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    c = np.zeros(n, np.uint64)
+    for i in range(k):
+        c = (c << np.uint64(2)) | (code[i : i + n] & 3).astype(np.uint64)
+    bad = np.concatenate([[0], np.cumsum(code > 3)])
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    at = np.flatnonzero((bad[k:] == bad[:-k]) & (owner[:n] == owner[k - 1 :]))
+    return at, owner[at], c[at]
+
+
+def reverse_codes(c: np.ndarray, k: int) -> np.ndarray:
+    """Codes of the reverse complements."""
+    out = np.zeros_like(c)
+    for i in range(k):
+        out = (out << np.uint64(2)) | (np.uint64(3) - ((c >> np.uint64(2 * i)) & np.uint64(3)))
+    return out
+
+
+def window_statistics(df: DataFrame, keys: list[str], seq: str, *, k: int = 3, palindrome: int = 6) -> DataFrame:
+    """(keys, entropy, density) of each window: what :func:`kmer_entropy` and :func:`palindrome_density` compute, in one
+    pass over the windows and without a row for each k-mer. No k-mer: entropy 0, density null."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", entropy double, density double"
+    names = [*keys, "entropy", "density"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, off = _flat(b.column(len(keys)))
+            m = b.num_rows
+            _, owner, c = _codes(code, off, k)
+            cell, count = np.unique(owner * 4**k + c.astype(np.int64), return_counts=True)
+            total = np.bincount(owner, minlength=m).astype(np.float64)
+            spread = np.bincount(cell // 4**k, count * np.log2(count), m)
+            entropy = np.where(total > 0, np.log2(np.maximum(total, 1)) - spread / np.maximum(total, 1), 0.0)
+            _, owner, c = _codes(code, off, palindrome)
+            n = np.bincount(owner, minlength=m)
+            own = np.bincount(owner, c == reverse_codes(c, palindrome), m)
+            density = pa.array(own / np.maximum(n, 1), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(entropy), density], names=names)
+
+    return df.select(*keys, seq).mapInArrow(run, schema)
+
+
+def seeds_in(df: DataFrame, key: str, seq: str, wanted: np.ndarray, k: int) -> DataFrame:
+    """(key, pos, code): k-mers of the sequences whose code is in the sorted array ``wanted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                code, off = _flat(part.column(1))
+                at, owner, c = _codes(code, off, k)
+                hit = wanted[np.minimum(np.searchsorted(wanted, c), len(wanted) - 1)] == c if len(wanted) else np.zeros(len(c), bool)
+                at, owner, c = at[hit], owner[hit], c[hit]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)).cast(pa.int64()), pa.array(at - off[owner]), pa.array(c.view(np.int64))], names=["key", "pos", "code"])
+
+    return df.select(key, seq).mapInArrow(run, "key long, pos long, code long").withColumnRenamed("key", key)
+
+
+def code_of(kmer: Column) -> Column:
+    """The 2-bit code of a k-mer of A, C, G and T (k up to 31)."""
+    return F.aggregate(F.filter(F.split(kmer, ""), lambda x: x != ""), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 2).bitwiseOR(F.instr(F.lit("ACGT"), x).cast("long") - 1))
+
+
 def tokens(s: Column, length: int = 512) -> Column:
     """Token ids of a nucleotide text: CLS 2, A4 C5 G6 T7 N8 (others UNK 1), SEP 3, cut and padded (0) to ``length``."""
     ids = F.transform(F.split(F.upper(s), ""), lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in zip("ACGTN", range(4, 9)) for x in p]), c), F.lit(1)))

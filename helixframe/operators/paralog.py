@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmers
+from ..functions.sequence import code_of, kmers, seeds_in
 from .relational import softmax
 
 
@@ -74,16 +75,22 @@ def catalogue(sequences: DataFrame, *, least: float = 0.5) -> DataFrame:
     return cols.join(info, "pos")
 
 
-def anchor_hits(reads: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+def anchor_hits(reads: DataFrame, anchors: DataFrame, k: int, *, most: int = 1 << 20) -> DataFrame:
     """(read_id, gene, copy, exon, forward): anchors that a read contains, on either strand.
 
-    Containment by an equi-join on the anchor's first k-mer, verified on the whole anchor; no theta join. Anchors
-    are at least ``k`` long.
+    Containment by an equi-join on the anchor's first k-mer (k up to 31), verified on the whole anchor; no theta join.
+    Anchors are at least ``k`` long. Up to ``most`` different keys (8 bytes each, checked) are sent to the scan of the
+    reads, which then emits only k-mers that are keys; beyond, all k-mers are joined.
     """
     rc = F.reverse(F.translate("anchor", "ACGT", "TGCA"))
     both = anchors.withColumn("forward", F.lit(True)).unionByName(anchors.withColumn("anchor", rc).withColumn("forward", F.lit(False)))
-    both = both.withColumn("_key", F.substring("anchor", 1, k))
-    seeds = kmers(reads, "read_id", "seq", k).select("read_id", (F.col("pos") + 1).alias("_at"), F.col("kmer").alias("_key"))
+    both = both.withColumn("_key", code_of(F.substring("anchor", 1, k)))
+    keys = both.select("_key").distinct().limit(most + 1).toPandas()["_key"].to_numpy(np.int64)
+    if len(keys) <= most:
+        found = seeds_in(reads, "read_id", "seq", np.sort(keys.view(np.uint64)), k)
+    else:
+        found = kmers(reads, "read_id", "seq", k).select("read_id", "pos", code_of(F.col("kmer")).alias("code"))
+    seeds = found.select("read_id", (F.col("pos") + 1).cast("int").alias("_at"), F.col("code").alias("_key"))
     hits = seeds.join(both, "_key").select("read_id", "_at", "anchor", "gene", "copy", "exon", "forward")
     checked = hits.join(reads.select("read_id", "seq"), "read_id").filter(F.substr("seq", F.col("_at"), F.length("anchor")) == F.col("anchor"))
     return checked.select("read_id", "gene", "copy", "exon", "forward").distinct()

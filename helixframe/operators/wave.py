@@ -122,9 +122,11 @@ def collapse_stats(classified: DataFrame) -> DataFrame:
 
 def refine(wave: DataFrame, children: DataFrame, *, least: float = 0.01, most: int = 50, prior: str | None = None) -> DataFrame:
     """The wave one level finer: candidates of at least ``least`` share their mass among their children (parent, child)."""
-    w = Window.partitionBy("read_id", "bucket_id")
-    parts = wave.filter(F.col("p") >= least).join(children.select(F.col("parent").alias("bucket_id"), "child", *([prior] if prior else [])), "bucket_id")
-    share = F.col("p") * F.col(prior) / F.sum(prior).over(w) if prior else F.col("p") / F.count(F.lit(1)).over(w)
+    weight = F.col(prior) if prior else F.lit(1.0)
+    # Shares are computed among the children, before they meet the reads: no window over the joined rows.
+    split = children.select(F.col("parent").alias("bucket_id"), "child", (weight / F.sum(weight).over(Window.partitionBy("parent"))).alias("_w"))
+    parts = wave.filter(F.col("p") >= least).join(split, "bucket_id")
+    share = F.col("p") * F.col("_w")
     merged = parts.withColumn("_s", share).groupBy("read_id", "child").agg(F.sum("_s").alias("p"))
     kept = top_k(merged, ["read_id"], [F.desc("p"), F.col("child")], most).drop("rank").withColumnRenamed("child", "bucket_id")
     return normalise(kept, ["read_id"], "p", "p")

@@ -36,8 +36,8 @@ def minimizers(spark, d):
 
 @query("read_minimizers", f"WITH {A.READS}, {_kmers('reads', 'read_id', 'm')} SELECT read_id, count(*) AS n, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos, count(DISTINCT kmer) AS n_kmers FROM m GROUP BY 1")
 def read_minimizers(spark, d):
-    m = Q.minimizers(A.reads(spark, d), "read_id", "seq", k=K, w=W)
-    return m.groupBy("read_id").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count_distinct("kmer").alias("n_kmers"))
+    m = Q.coded_minimizers(A.reads(spark, d), "read_id", "seq", k=K, w=W)
+    return m.groupBy("read_id").agg(F.count("*").alias("n"), F.min("pos").cast("int").alias("first_pos"), F.max("pos").cast("int").alias("last_pos"), F.count_distinct("kmer").alias("n_kmers"))
 
 
 @query("occurrence_filter", f"WITH {A.REFS}, {_kmers('refs', 'ref_id', 'm')}, o AS (SELECT kmer, count(*) AS n_occ FROM m GROUP BY 1) SELECT kmer, n_occ, n_occ <= 2 AS kept FROM o")
@@ -61,9 +61,9 @@ SELECT read_id, ref_id, count(*) AS n_hits, count(*) FILTER (a.same_strand = b.s
 FROM qa a JOIN qb b USING (kmer) WHERE kmer IN (SELECT kmer FROM o) GROUP BY 1, 2""",
 )
 def seed_join(spark, d):
-    reads = Q.minimizers(A.reads(spark, d), "read_id", "seq", k=K, w=W)
-    hits = S.seed_join(reads, ref_index(spark, d), max_occ=20)
-    return hits.groupBy("read_id", "ref_id").agg(F.count("*").alias("n_hits"), F.count_if("same_strand").alias("n_same"), F.min("ref_pos").alias("first_ref_pos"), F.max("query_pos").alias("last_query_pos"))
+    sides = [Q.coded_minimizers(x, key, "seq", k=K, w=W) for x, key in ((A.reads(spark, d), "read_id"), (A.refs(spark, d), "ref_id"))]
+    hits = S.seed_join(*sides, max_occ=20)
+    return hits.groupBy("read_id", "ref_id").agg(F.count("*").alias("n_hits"), F.count_if("same_strand").alias("n_same"), F.min("ref_pos").cast("int").alias("first_ref_pos"), F.max("query_pos").cast("int").alias("last_query_pos"))
 
 
 @query("minimizers_hashed")
@@ -110,8 +110,7 @@ feat AS (SELECT read_id, "start", "end", len(regexp_replace(w, '[^GC]', '', 'g')
 
 def features(spark, d):
     w = Q.windows(A.reads(spark, d), "read_id", "seq", 200, 200)
-    e = Q.kmer_entropy(w, ["read_id", "start"], "window", 3)
-    return w.withColumn("gc", Q.gc_content(F.col("window"))).drop("window").join(e, ["read_id", "start"], "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
+    return Q.window_statistics(w.withColumn("gc", Q.gc_content(F.col("window"))), ["read_id", "start", "end", "gc"], "window").drop("density")
 
 
 @query("window_features", f'WITH {_FEATURES} SELECT read_id, "start", "end", round(gc, 6) AS gc, round(entropy, 6) + 0e0 AS entropy FROM feat')
@@ -125,7 +124,8 @@ def window_features(spark, d):
 SELECT read_id, "start", round(count(*) FILTER (k = reverse(translate(k, 'ACGT', 'TGCA'))) / count(*)::DOUBLE, 6) AS density FROM km GROUP BY 1, 2""",
 )
 def palindrome_density(spark, d):
-    return Q.palindrome_density(Q.windows(A.reads(spark, d), "read_id", "seq", 200, 200), ["read_id", "start"], "window").select("read_id", "start", q("density").alias("density"))
+    s = Q.window_statistics(Q.windows(A.reads(spark, d), "read_id", "seq", 200, 200), ["read_id", "start"], "window")
+    return s.filter("density is not null").select("read_id", "start", q("density").alias("density"))
 
 
 @query(

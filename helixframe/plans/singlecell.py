@@ -87,10 +87,10 @@ def sc_global_qc(spark, d):
     )
 
 
-@query("sc_filtered_matrix", f"WITH {_CELL_QC} SELECT m.cell, m.paralog, round(m.value, 6) AS value, m.read_count FROM m JOIN cell_qc USING (cell) WHERE total_reads >= 60 AND entropy <= 2.31")
+@query("sc_filtered_matrix", f"WITH {_CELL_QC} SELECT m.cell, m.paralog, round(m.value, 6) AS value, m.read_count FROM m JOIN cell_qc USING (cell) WHERE total_reads >= 60 AND entropy <= 2.33")
 def sc_filtered_matrix(spark, d):
     m = S.matrix(A.cells(spark, d))
-    good = S.passing(S.cell_qc(m), reads=60, rate=0.0, confidence=0.0, most_entropy=2.31).select("cell")
+    good = S.passing(S.cell_qc(m), reads=60, rate=0.0, confidence=0.0, most_entropy=2.33).select("cell")
     return m.join(good, "cell", "left_semi").select("cell", "paralog", q("value").alias("value"), "read_count")
 
 

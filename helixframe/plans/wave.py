@@ -147,11 +147,12 @@ def coarse(spark, d):
     f"""WITH {_COARSE}, parts AS (SELECT read_id, l2, p / count(*) OVER (PARTITION BY read_id, bucket_id) AS s FROM coarse JOIN pyramid ON l1 = bucket_id WHERE p >= 0.01e0),
 merged AS (SELECT read_id, l2 AS bucket_id, sum(s) AS p FROM parts GROUP BY 1, 2),
 kept AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY p DESC, bucket_id) <= 50)
-SELECT read_id, bucket_id, round(p / sum(p) OVER (PARTITION BY read_id), 6) AS p FROM kept""",
+SELECT read_id, bucket_id, round(p / sum(p) OVER (PARTITION BY read_id) + 1e-9, 6) AS p FROM kept""",
 )
 def wave_refine_l1_l2(spark, d):
     children = A.pyramid(spark, d).select(F.col("l1").alias("parent"), F.col("l2").alias("child"))
-    return W.refine(coarse(spark, d), children).select("read_id", "bucket_id", q("p").alias("p"))
+    # Shares of a few children often end in a 5 at the seventh place: both engines round up what is within 1e-9 of it.
+    return W.refine(coarse(spark, d), children).select("read_id", "bucket_id", q(F.col("p") + 1e-9).alias("p"))
 
 
 @query(
@@ -171,7 +172,7 @@ cohesion AS (SELECT cluster_id, avg(coalesce(similarity, 0)) AS cohesion FROM cl
 best AS (SELECT read_id AS rep_id, bucket_id, p, max(p) OVER (PARTITION BY read_id) AS rep_p FROM wave QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY p DESC, bucket_id) <= 10),
 normal AS (SELECT rep_id, bucket_id, p / sum(p) OVER (PARTITION BY rep_id) AS p, rep_p FROM best),
 j AS (SELECT c.read_id, n.bucket_id, n.p, rep_p, coalesce(similarity, 0.01e0) AS s, cohesion AS h FROM clusters c JOIN cohesion USING (cluster_id) JOIN normal n USING (rep_id) WHERE c.read_id <> c.rep_id)
-SELECT read_id, bucket_id, round(p, 6) AS p, round(greatest(0.1e0, least(0.95e0, rep_p * 0.8e0 * (0.5e0 + 0.5e0 * s) * (0.7e0 + 0.3e0 * h) * CASE WHEN s < 0.3e0 THEN 0.5e0 ELSE 1e0 END)), 6) AS confidence FROM j""",
+SELECT read_id, bucket_id, round(p + 1e-9, 6) AS p, round(greatest(0.1e0, least(0.95e0, rep_p * 0.8e0 * (0.5e0 + 0.5e0 * s) * (0.7e0 + 0.3e0 * h) * CASE WHEN s < 0.3e0 THEN 0.5e0 ELSE 1e0 END)) + 1e-9, 6) AS confidence FROM j""",
 )
 def wave_propagate_members(spark, d):
     o = table(spark, d, "orders")
@@ -181,7 +182,7 @@ def wave_propagate_members(spark, d):
     )
     cohesion = clusters.groupBy("cluster_id").agg(F.avg(F.coalesce("similarity", F.lit(0.0))).alias("cohesion"))
     out = W.propagate(clusters.filter("read_id <> rep_id"), wave(spark, d), cohesion)
-    return out.select("read_id", "bucket_id", q("p").alias("p"), q("confidence").alias("confidence"))
+    return out.select("read_id", "bucket_id", q(F.col("p") + 1e-9).alias("p"), q(F.col("confidence") + 1e-9).alias("confidence"))
 
 
 @query(
