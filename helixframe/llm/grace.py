@@ -60,6 +60,13 @@ class OpenTable:
             self.slots[at] = k
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows: Python objects are made of one at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _order(id_: int | None, rid: int) -> tuple:
     """Larger is better: the largest id, null ids last; among equal ids the largest row number."""
     return (id_ is not None, id_ or 0, rid)
@@ -89,7 +96,7 @@ def _fold(lower: bool, most: int, digest: Callable[[bytes], bytes]) -> Callable:
                 schema=schema,
             )
 
-        for b in batches:
+        for b in _small(batches):
             for rid, id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc.cast(b.column(2), pa.binary()).to_pylist()):
                 text = (text or b"").translate(LOWER) if lower else text or b""
                 before = len(t.contents)
@@ -177,7 +184,7 @@ def _bucket(records: Iterator[tuple], base: str, most: int, level: int, fan: int
 def _grace(base: str, most: int, fan: int, payloads: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(DECIDED)
-        records = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        records = (r for b in _small(batches) for r in zip(*(c.to_pylist() for c in b.columns)))
         out: list[tuple] = []
         size = 0
 

@@ -7,6 +7,7 @@ bytes of a batch is one numpy call instead of a Python loop over texts.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,8 +18,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def _give_back() -> None:
+    """Large arrays are mapped apart, so that a worker returns their memory when they are freed (glibc's threshold would adapt)."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_give_back()
+
 #: Texts are handled in slices of about this many bytes; a single longer text is a slice of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
