@@ -31,13 +31,12 @@ def gc_content(s: Column) -> Column:
 def kmers(df: DataFrame, key: str, seq: str, k: int, *, tile: int = 512) -> DataFrame:
     """(key, pos, last, kmer) of all positions; ``last`` is the last one's.
 
-    Strings are UTF-8, so a substring costs its position: sequences are cut into tiles first and k-mers from those.
+    Sequences are cut into tiles first (see :func:`pieces`) and k-mers from those.
     """
-    at = F.explode(F.sequence(F.lit(0), F.length(seq) - k, F.lit(tile)))
-    tiles = df.filter(F.length(seq) >= k).select(key, F.col(seq).alias("_s"), (F.length(seq) - k).alias("last"), at.alias("_t"))
-    tiles = tiles.select(key, "last", "_t", F.substr("_s", F.col("_t") + 1, F.lit(tile + k - 1)).alias("_w"))
+    tiles = pieces(df.select(key, F.col(seq).alias("_s"), (F.length(seq) - k).alias("last")), [key, "last"], "_s", tile, tile, name="_w", overlap=k - 1)
+    tiles = tiles.filter(F.length("_w") >= k).withColumnRenamed("start", "_t")
     inner = F.explode(F.sequence(F.lit(0), F.length("_w") - k))
-    return tiles.select(key, "last", "_t", "_w", inner.alias("_i")).select(key, (F.col("_t") + F.col("_i")).alias("pos"), "last", F.substr("_w", F.col("_i") + 1, F.lit(k)).alias("kmer"))
+    return tiles.select(key, "last", "_t", "_w", inner.alias("_i")).select(key, (F.col("_t") + F.col("_i")).cast("int").alias("pos"), "last", F.substr("_w", F.col("_i") + 1, F.lit(k)).alias("kmer"))
 
 
 def minimizers(df: DataFrame, key: str, seq: str, *, k: int = 11, w: int = 5) -> DataFrame:
@@ -223,22 +222,49 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == F.length(b), F.aggregate(pairs, F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0))))
 
 
+def pieces(df: DataFrame, keys: list[str], seq: str, size: int, step: int, *, stop_at_end: bool = False, name: str = "piece", overlap: int = 0) -> DataFrame:
+    """(keys, start, end, piece): ``size`` bases from every ``step``-th on, and ``overlap`` more in the text of a piece.
+
+    The last pieces are shorter; with ``stop_at_end`` none begins after one that reaches the end. An Arrow kernel, as
+    slicing costs nothing there, while a substring of a UTF-8 string costs its position: this is linear in the
+    sequence, so whole chromosomes can be cut.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + f", start long, end long, {name} string"
+    names = [*keys, "start", "end", name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(b: pa.RecordBatch, rows: list[int], starts: list[int], ends: list[int], texts: list[str]) -> pa.RecordBatch:
+            take = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns[:-1]), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(texts, pa.string())], names=names)
+
+        for b in batches:
+            rows, starts, ends, texts, held = [], [], [], [], 0
+            for i, s in enumerate(b.column(len(keys)).to_pylist()):
+                n = len(s or "")
+                last = max(0, -(-(n - size) // step)) * step if stop_at_end else n - 1
+                for at in range(0, min(last, n - 1) + 1 if n else 0, step):
+                    rows.append(i)
+                    starts.append(at)
+                    ends.append(min(at + size, n))
+                    texts.append(s[at : at + size + overlap])
+                    held += size + overlap
+                    if held > 4 << 20:
+                        yield made(b, rows, starts, ends, texts)
+                        rows, starts, ends, texts, held = [], [], [], [], 0
+            if rows:
+                yield made(b, rows, starts, ends, texts)
+
+    return df.select(*keys, seq).mapInArrow(run, schema)
+
+
 def windows(df: DataFrame, key: str, seq: str, size: int, step: int) -> DataFrame:
     """(key, start, end, window): windows of ``size`` every ``step`` bases; the last ones are shorter."""
-    at = F.explode(F.sequence(F.lit(0), F.length(seq) - 1, F.lit(step)))
-    return df.filter(F.length(seq) > 0).select(key, seq, at.alias("start")).select(
-        key, F.col("start").cast("long").alias("start"), F.least(F.col("start") + size, F.length(seq)).cast("long").alias("end"), F.substr(F.col(seq), F.col("start") + 1, F.lit(size)).alias("window")
-    )
+    return pieces(df, [key], seq, size, step, name="window")
 
 
 def chunks(df: DataFrame, key: str, seq: str, *, size: int = 1024, overlap: int = 128) -> DataFrame:
-    """Overlapping windows; none begins after one that reaches the end."""
-    step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length(seq) - size) / step)).cast("int")
-    at = F.explode(F.sequence(F.lit(0), last))
-    return df.filter(F.length(seq) > 0).select(key, seq, at.alias("_k")).withColumn("start", F.col("_k") * step).select(
-        key, F.col("start").cast("long").alias("start"), F.least(F.col("start") + size, F.length(seq)).cast("long").alias("end"), F.substr(F.col(seq), F.col("start") + 1, F.lit(size)).alias("chunk")
-    )
+    """(key, start, end, chunk): overlapping windows; none begins after one that reaches the end."""
+    return pieces(df, [key], seq, size, size - overlap, stop_at_end=True, name="chunk")
 
 
 def kmer_entropy(df: DataFrame, keys: list[str], seq: str, k: int) -> DataFrame:
@@ -277,3 +303,22 @@ def tandem_period(df: DataFrame, keys: list[str], seq: str, most: int = 1000) ->
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([period_of((s or "").encode(), most) for s in b.column(len(keys)).to_pylist()], pa.int32())], names=names)
 
     return df.select(*keys, seq).mapInArrow(run, schema)
+
+
+def found_within(seq: bytes, anchor: bytes, k: int) -> bool:
+    """Whether the anchor occurs with at most ``k`` mismatches; tiles shorter than 8 bases allow exact matches only.
+
+    By the pigeon-hole principle one of k + 1 tiles occurs unchanged; its places are verified.
+    """
+    tile = len(anchor) // (k + 1)
+    if k == 0 or tile < 8:
+        return anchor in seq
+    a = np.frombuffer(anchor, np.uint8)
+    s = np.frombuffer(seq, np.uint8)
+    for t in range(k + 1):
+        part, at = anchor[t * tile : (t + 1) * tile], -1
+        while (at := seq.find(part, at + 1)) >= 0:
+            start = at - t * tile
+            if 0 <= start <= len(seq) - len(anchor) and (s[start : start + len(a)] != a).sum() <= k:
+                return True
+    return False

@@ -44,12 +44,23 @@ def chained(found: DataFrame, config: K.ChainConfig = K.ChainConfig()) -> DataFr
     return flat.mapInPandas(run, CHAINS)
 
 
+def with_windows(chains: DataFrame, refs: DataFrame, offset: str, stop, *, tile: int = 1 << 14) -> DataFrame:
+    """Adds ``window``, the reference from ``offset`` up to ``stop``: tiles of the reference meet the chains, never whole references."""
+    tiles = Q.pieces(refs, ["ref_id"], "seq", tile, tile, name="_text").select("ref_id", F.floor(F.col("start") / tile).alias("_tile"), "_text")
+    c = chains.withColumn("_stop", stop)
+    need = c.select("read_id", "chain", "ref_id", F.explode(F.sequence(F.floor(F.col(offset) / tile), F.floor((F.col("_stop") - 1) / tile))).alias("_tile"))
+    # A chain's tiles: its span over the tile size, plus one.
+    text = need.join(tiles, ["ref_id", "_tile"]).groupBy("read_id", "chain").agg(F.array_sort(F.collect_list(F.struct("_tile", "_text"))).alias("_t"))
+    whole = F.array_join(F.transform("_t", lambda x: x["_text"]), "")
+    j = c.join(text.select("read_id", "chain", whole.alias("_w")), ["read_id", "chain"])
+    return j.withColumn("window", F.substr("_w", (F.col(offset) % tile + 1).cast("int"), (F.col("_stop") - F.col(offset)).cast("int"))).drop("_w", "_stop")
+
+
 def extended(chains: DataFrame, reads: DataFrame, refs: DataFrame, *, most: int = 5, end: int = 500, pad: int = 50, k: int = 15) -> DataFrame:
     """The best ``most`` chains of each read as alignments. Only the reference's window around a chain leaves the JVM."""
     total = Window.partitionBy("read_id")
     c = chains.withColumn("n_chains", F.count("*").over(total).cast("int")).filter(F.col("chain") < most)
-    lo = F.greatest(F.lit(0), F.col("first_ref") - end - pad)
-    j = c.join(refs.select("ref_id", F.col("seq").alias("_ref")), "ref_id").withColumn("offset", lo).withColumn("window", F.substr("_ref", (lo + 1).cast("int"), (F.col("last_ref") + k + end + pad - lo).cast("int"))).drop("_ref")
+    j = with_windows(c.withColumn("offset", F.greatest(F.lit(0), F.col("first_ref") - end - pad)), refs, "offset", F.col("last_ref") + k + end + pad)
     j = j.join(reads.select("read_id", F.when(F.length("seq") > 0, F.col("seq")).otherwise("").alias("seq")), "read_id")
     names = [x.split()[0] for x in ALIGNED.split(", ")]
     comp = bytes.maketrans(b"ACGT", b"TGCA")

@@ -61,6 +61,13 @@ def baseline(a: DataFrame, b: DataFrame) -> DataFrame:
     return s.withColumn("recall_a", ratio("n_both", F.col("n_both") + F.col("n_only_b"))).withColumn("recall_b", ratio("n_both", F.col("n_both") + F.col("n_only_a"))).withColumn("ratio", ratio(F.col("n_both") + F.col("n_only_a"), F.col("n_both") + F.col("n_only_b")))
 
 
+def real_validation(a: DataFrame, b: DataFrame, *, least_ratio: float = 0.995) -> DataFrame:
+    """One row: whether a mapper accounts for all its reads and maps at least ``least_ratio`` of what the baseline maps."""
+    s = baseline(a, b)
+    complete = F.col("n_both") + F.col("n_only_a") + F.col("n_only_b") + F.col("n_neither") == F.col("n")
+    return s.withColumn("complete", complete).withColumn("passed", complete & (F.col("ratio") >= least_ratio))
+
+
 def position_correct(pos: Column, truth: Column, length: Column, *, least: int = 100, share: float = 0.01) -> Column:
     return F.abs(pos - truth) <= F.greatest(F.lit(least), F.floor(length * share))
 

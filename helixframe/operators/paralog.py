@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import code_of, kmers, seeds_in
+from ..runtime import bounded
 from .relational import softmax
 
 
@@ -17,7 +18,7 @@ def likelihoods(obs: DataFrame, sites: DataFrame, paralogs: DataFrame, *, error:
     """(read_id, paralog, log_likelihood, support, conflict) of every paralog for each read with an observation.
 
     ``obs``: (read_id, psv_id, base, base_quality); ``sites``: (psv_id, paralog, allele, informativeness). Sites that
-    lack a paralog's allele add nothing to it. Sites join by id; only paralog names, a handful, are sent everywhere.
+    lack a paralog's allele add nothing to it. Sites join by id; only paralog names, of a checked number, are sent everywhere.
     """
     info = sites.groupBy("psv_id").agg(F.max("informativeness").alias("_inf")).filter(F.col("_inf") >= min_informativeness).select("psv_id")
     o = obs.filter(F.col("base_quality") >= min_quality).join(info, "psv_id")
@@ -26,7 +27,7 @@ def likelihoods(obs: DataFrame, sites: DataFrame, paralogs: DataFrame, *, error:
     known = told.groupBy("read_id", "paralog").agg(
         F.sum(F.when(hit, math.log(1 - error)).otherwise(math.log(error / 3))).alias("_l"), F.count_if(hit).alias("_s"), F.count_if(~hit).alias("_c")
     )
-    each = o.select("read_id").distinct().join(F.broadcast(paralogs))
+    each = o.select("read_id").distinct().join(bounded(paralogs))
     return each.join(known, ["read_id", "paralog"], "left").select("read_id", "paralog", F.coalesce("_l", F.lit(0.0)).alias("log_likelihood"), F.coalesce("_s", F.lit(0)).alias("support"), F.coalesce("_c", F.lit(0)).alias("conflict"))
 
 

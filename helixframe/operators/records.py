@@ -78,6 +78,42 @@ def tag(aux: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(aux, rf"(?:^|\t){name}:[A-Za-z]:([^\t]*)", 1), F.lit(""))
 
 
+def merged_tags(first: dict, second: dict) -> dict:
+    """Tags of two sources, the first's where it has them."""
+    return {k: F.coalesce(*[s[k] for s in (first, second) if k in s]) for k in {**first, **second}}
+
+
+def effective(corrected: Column, raw: Column) -> Column:
+    return F.coalesce(corrected, raw)
+
+
+def barcode_of(read: Column, *, mapped: Column | None = None, pattern: str | None = None, prefix: str | None = None) -> Column:
+    """A read's barcode: from a joined map if there is one, else by a pattern's first group, else what follows a prefix."""
+    if mapped is not None:
+        return mapped
+    if pattern is not None:
+        return F.nullif(F.regexp_extract(read, pattern, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(read, rf"{prefix}([^ \t_]*)", 1), F.lit(""))
+
+
+def gene_of(target: Column, isotypes: tuple[str, ...], mapped: Column | None = None) -> Column:
+    """The gene that a map gives a target, else its first token where that is an isotype."""
+    token = F.split(target, "_")[0]
+    own = F.when(token.isin(*isotypes), token)
+    return F.coalesce(mapped, own) if mapped is not None else own
+
+
+def by_read(rows: DataFrame) -> DataFrame:
+    """(read_id, rows): a read's probability rows, best first. A read's rows are its candidates, bounded by refinement."""
+    each = F.array_sort(F.collect_list(F.struct((-F.col("probability")).alias("order"), "bucket_id", "probability")))
+    return rows.groupBy("read_id").agg(F.transform(each, lambda x: F.struct(x["bucket_id"].alias("bucket_id"), x["probability"].alias("probability"))).alias("rows"))
+
+
+def cache_key(kind: Column, read: Column, ref: Column, region: Column, candidates: Column) -> Column:
+    """SHA-256 of a decision's inputs; ``candidates`` are ``pos:score`` strings, sorted here."""
+    return F.sha2(F.concat_ws("|", F.lit("v1"), kind, read, ref, region, F.array_join(F.array_sort(candidates), ";")), 256)
+
+
 def valid_barcode(barcode: Column, length: int, *, allow_n: bool = False) -> Column:
     return (F.length(barcode) == length) & barcode.rlike("^[ACGTN]+$" if allow_n else "^[ACGT]+$")
 

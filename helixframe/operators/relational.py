@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group; partial limits run before the shuffle."""
@@ -60,9 +62,16 @@ def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, label: str
 def relabel(df: DataFrame, label: str, order: str, out: str) -> DataFrame:
     """Labels numbered from 0 in the order of their first appearance."""
     first = df.groupBy(label).agg(F.min(order).alias("_first"))
-    # One row for each label: the global window sorts labels, not rows.
-    ids = first.withColumn(out, (F.row_number().over(Window.orderBy("_first")) - 1).cast("long")).drop("_first")
-    return df.join(ids, label)
+    return df.join(dense_ids(first, ["_first", label], out).drop("_first"), label)
+
+
+def dense_ids(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Rows numbered from 0 in an order, without a global window: ranges are sorted apart, then each adds the sizes of those before."""
+    at = F.monotonically_increasing_id()
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # one row for each partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("_range", before.alias("_before")), "_range").withColumn(out, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, *, on: Sequence[str], pos: str = "pos", start: str = "start", end: str = "end", width: int = 256) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, ratio
+from ..runtime import bounded, cut, ratio
 from .relational import entropy, normalise, top_k, top_two, within_distance
 
 
@@ -142,8 +142,8 @@ def run_levels(reads: DataFrame, levels: list[DataFrame], children: list[DataFra
 
     ``levels[0]``: (bucket_id); ``children[i]``: (parent, child) from level i to i + 1.
     """
-    each = levels[0].agg(F.collect_list("bucket_id").alias("b"))  # the coarsest level has few buckets: one array for all reads
-    wave = reads.select("read_id").join(F.broadcast(each)).select("read_id", F.explode("b").alias("bucket_id"), (1.0 / F.size("b")).alias("p"))
+    n = levels[0].count()
+    wave = reads.select("read_id").join(bounded(levels[0].select("bucket_id"))).withColumn("p", F.lit(1.0 / max(n, 1)))
     for k in range(len(children) + 1):
         if k:
             wave = refine(wave, children[k - 1])
@@ -153,6 +153,15 @@ def run_levels(reads: DataFrame, levels: list[DataFrame], children: list[DataFra
     return wave
 
 
+def extract(collapsed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(read_id, target, position, confidence) of collapsed reads: the start of their bucket (bucket_id, target, start)."""
+    return collapsed.filter("collapsed").join(buckets, collapsed["best_bucket"] == buckets["bucket_id"]).select("read_id", "target", F.col("start").alias("position"), F.col("max_p").alias("confidence"))
+
+
+def bucket_estimate(targets: DataFrame, size: int) -> DataFrame:
+    return targets.agg(F.sum("length").alias("total_length"), F.sum(F.ceil(F.col("length") / size)).cast("long").alias("n_buckets"))
+
+
 def member_confidence(rep: Column, similarity: Column, cohesion: Column) -> Column:
     """Confidence that a member inherits from its representative, between 0.1 and 0.95."""
     x = rep * 0.8 * (1 - 0.5 + 0.5 * similarity) * (1 - 0.3 + 0.3 * cohesion) * F.when(similarity < 0.3, 0.5).otherwise(1.0)

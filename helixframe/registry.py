@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import alignments, base, calls, graphs, sequence, singlecell, wave  # noqa: F401
+from .plans import alignments, base, calls, extras, graphs, sequence, singlecell, wave  # noqa: F401
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
-    return base.QUERIES["sc_matrix_mean"](spark, sf_dir)
+    return base.QUERIES["wave_em_step3"](spark, sf_dir)

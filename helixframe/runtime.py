@@ -25,6 +25,13 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
 
 
+def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast after its size has been checked; more than ``most`` rows are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a table that all tasks get may have at most {most} rows")
+    return F.broadcast(df)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which all executors share; a temporary folder only where it is unset (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("helixframe.shared.dir", None)

@@ -149,3 +149,53 @@ def test_paralog_family(spark):
     fam = synthetic.paralog_family(synthetic.random_reference(spark, 1, 500), 4, 0.05)
     sites = paralog.catalogue(fam, least=0.3).select("pos").distinct().count()
     assert fam.count() == 4 and 10 < sites < 120
+
+
+def test_kernels_equal_the_declarative_forms(spark):
+    g = random.Random(11)
+    rows = [(k, "".join(g.choice("ACGT") for _ in range(g.choice([0, 5, 10, 11, 14, 200, 900])))) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    slow = {(r.id, r.pos, r.kmer, r.same_strand) for r in Q.minimizers(df, "id", "seq").collect()}
+    text = lambda c, k=11: "".join("ACGT"[(c >> 2 * (k - 1 - i)) & 3] for i in range(k))
+    assert {(r.id, r.pos, text(r.kmer), r.same_strand) for r in Q.coded_minimizers(df, "id", "seq").collect()} == slow
+    odd = spark.createDataFrame([*rows, (50, None), (51, "ACGNNACGTACG"), (52, "acgt" * 9)], "id long, seq string")
+    stats = {r.id: r for r in Q.window_statistics(odd, ["id"], "seq").collect()}
+    up = odd.withColumn("seq", F.upper("seq"))
+    for r in Q.kmer_entropy(up, ["id"], "seq", 3).collect():
+        assert abs(stats[r.id].entropy - r.entropy) < 1e-9
+    density = {r.id: r.density for r in Q.palindrome_density(up, ["id"], "seq").collect()}
+    assert {k: r.density for k, r in stats.items() if r.density is not None} == pytest.approx(density)
+    codes = df.filter("length(seq) > 10").select(Q.code_of(F.substring("seq", 1, 8)).alias("c"), F.substring("seq", 1, 8).alias("k")).collect()
+    assert all(text(r.c, 8) == r.k for r in codes)
+
+
+def test_anchor_keys_beyond_the_bound_give_the_same(spark):
+    from helixframe.operators import paralog
+
+    g = random.Random(12)
+    reads = [(k, "".join(g.choice("ACGT") for _ in range(300))) for k in range(20)]
+    anchors = [("G", f"G_{k}", "CH1", s[50:90]) for k, s in reads[:5]] + [("G", "G_x", "CH2", "ACGT" * 10)]
+    r, a = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(anchors, "gene string, copy string, exon string, anchor string")
+    few, many = (sorted(paralog.anchor_hits(r, a, 20, most=m).collect()) for m in (1 << 20, 0))
+    assert few == many and {x.read_id for x in few} == {0, 1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("seed", range(15))
+def test_approximate_containment(seed):
+    g = random.Random(seed)
+    seq = "".join(g.choice("ACGT") for _ in range(200))
+    anchor = list(seq[60:100])
+    for p in g.sample(range(40), g.randint(0, 3)):
+        anchor[p] = g.choice("ACGT".replace(anchor[p], ""))
+    anchor = "".join(anchor)
+    for k in (0, 1, 2, 3):
+        want = any(sum(x != y for x, y in zip(seq[i : i + 40], anchor)) <= k for i in range(161))
+        assert Q.found_within(seq.encode(), anchor.encode(), k) == want
+
+
+def test_bound_on_broadcast_tables(spark):
+    from helixframe.runtime import bounded
+
+    with pytest.raises(ValueError):
+        bounded(spark.range(11), 10)
+    assert bounded(spark.range(10), 10).count() == 10
