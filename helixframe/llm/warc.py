@@ -7,6 +7,7 @@ Original records are reconstructed by joining them on the number of the stored p
 
 from __future__ import annotations
 
+import atexit
 import base64
 import hashlib
 import uuid
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grace import decided, folded
-from .shared import arrow, batch_of, shared_dir, table
+from .shared import arrow, batch_of, remove, shared_dir, table
 
 DIGESTS = "stored long, sha256 binary, payload_digest string, payload_bytes long"
 _DATE = "1970-01-01T00:00:00Z"
@@ -131,7 +132,9 @@ def export_files(spark: SparkSession, at: Archive, write: Callable[[int, Iterato
 
 
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = write_archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    at = write_archive(table(spark, sf_dir, "pages"), path)
     return read_records(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

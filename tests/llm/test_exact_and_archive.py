@@ -1,11 +1,20 @@
 import hashlib
 import base64
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, grace, warc
-from helixframe.llm.shared import LOWER, shared_dir
+from helixframe.llm.shared import LOWER
+from helixframe.llm.shared import shared_dir as _shared_dir
+
+
+RUN = uuid.uuid4().hex
+
+
+def shared_dir(spark):
+    return f"{_shared_dir(spark)}/{RUN}"  # paths of an earlier session may still be there
 
 
 def expected_groups(rows):
