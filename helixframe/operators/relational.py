@@ -30,7 +30,7 @@ def top_two(df: DataFrame, keys: Sequence[str], bucket: str, p: str) -> DataFram
 def best_fraction(df: DataFrame, keys: Sequence[str], score: str, fraction: float) -> DataFrame:
     """Rows whose score is at least the truncated fraction of their group's best."""
     best = F.max(score).over(Window.partitionBy(*keys))
-    return df.filter(F.col(score) >= F.floor(best * fraction))
+    return df.withColumn("_best", best).filter(F.col(score) >= F.floor(F.col("_best") * fraction)).drop("_best")
 
 
 def normalise(df: DataFrame, keys: Sequence[str], value: str, out: str, floor: float = 1e-10) -> DataFrame:

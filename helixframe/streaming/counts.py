@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import shared_dir
+from ..runtime import remove, shared_dir
 
 
 def hourly(events: DataFrame, *, late: str = "2 days") -> DataFrame:
@@ -29,6 +30,7 @@ def event_counts(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.readStream.schema(schema)
     events = reader.option("pathGlobFilter", name).parquet(folder) if is_file else reader.parquet(path)
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, base)
     kept: list[str] = []
 
     def keep(batch: DataFrame, number: int) -> None:
