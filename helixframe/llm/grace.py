@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,7 +60,7 @@ class OpenTable:
             self.slots[at] = k
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of few rows: Python objects are made of one at a time."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
@@ -104,11 +104,11 @@ def _fold(lower: bool, most: int, digest: Callable[[bytes], bytes]) -> Callable:
                 rows.append((rid, id_))
                 held += 64 + (len(text) if len(t.contents) > before else 0)
                 if held >= most:
-                    yield flush()
+                    yield from _small([flush()])
                     held, t = 0, OpenTable()
                     rows, entry = [], []
         if rows:
-            yield flush()
+            yield from _small([flush()])
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 def _give_back() -> None:
     """Large arrays are mapped apart, so that a worker returns their memory when they are freed (glibc's threshold would adapt)."""
     try:
-        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        ctypes.CDLL(None).mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD
     except (OSError, AttributeError):  # another C library
         pass
 
