@@ -2,11 +2,14 @@
 
 The symbols are the frequent words (a share of at least SYMBOL_SHARE of all tokens), a class for each pair of last bytes
 of the other words, and the end of a text. Contexts of up to DEPTH symbols are counted over all training texts. A
-context is a candidate if its share of all positions is at least CONTEXT_SHARE (so a depth has at most 1/CONTEXT_SHARE
-of them, whatever the input), and a state of the tree if its next-symbol distribution diverges from that of its longest
-suffix (a log-likelihood gain of at least PENALTY ln N) or a longer state needs it. A state's distribution is smoothed
+context is a candidate if it occurs CONTEXT_COUNT times (its next symbols, if they do ENTRY_COUNT times), and a state of
+the tree if its next-symbol distribution diverges from that of its longest suffix (a log-likelihood gain of at least
+PENALTY ln N) or a longer state needs it. A state's distribution is smoothed
 with that of its suffix, the root's is the unigram base. A token is scored by the state that is the longest suffix of
 what precedes it; a word of a class has its unigram share of the class.
+
+The tree is a written table of weights that add up to a token's score, so its size isn't bounded: the NEAR weights that
+are used most are sent to all tasks, the others are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -16,21 +19,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import LOWER_NP, SPACES, arrow, batch_of, fold_of, mix, runs, slices, span_hashes, stored, table, texts_of
 
 DEPTH = 2
-SYMBOL_SHARE, CONTEXT_SHARE, ENTRY_SHARE, PENALTY, SMOOTHING = 1e-4, 1e-5, 1e-6, 1.0, 50.0
+SYMBOL_SHARE, CONTEXT_COUNT, ENTRY_COUNT, PENALTY, SMOOTHING = 1e-4, 40, 4, 1.0, 50.0
+#: About so many weights at most are sent to all tasks, and 2^_FILTER bits that tell which others there may be.
+NEAR, _FILTER, _PAGE = 1 << 19, 27, 15
 #: Words of at least this share of all tokens (at most 1/WORD_SHARE) are sent to all tasks; others are joined.
 WORD_SHARE = 1e-6
 WORDS, GRAMS = "word binary, n long", "gram long, n long"
 SCORES = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, gain double"
 RARE = "rid long, word binary, n long"
+FAR = "rid long, key long, n long"
 
 #: Symbols: 0 start, 1 end, from 2 frequent words, from _CLASS pairs of bytes; each has _BITS bits of a gram.
 _END, _CLASS, _BITS, _SYMBOLS = 1, 1 << 17, 20, (1 << 17) + (1 << 16)
+#: From this bit a weight's key tells its depth and whether it is a context's or an entry's.
+_KIND = _BITS * (DEPTH + 1)
 
 
 def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +216,7 @@ def _low(keys: np.ndarray, symbols: int) -> np.ndarray:
 
 
 def build(contexts: list[tuple[np.ndarray, np.ndarray]], entries: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, penalty: float = PENALTY, smoothing: float = SMOOTHING) -> Tree:
-    """The tree of, for each depth from 1, candidate contexts with their counts and (context, symbol) grams with theirs.
+    """In memory, what :func:`_weights` does with tables: the tree of, for each depth from 1, candidate contexts with their counts and (context, symbol) grams with theirs.
 
     ``root``: log10 probability of each symbol without context.
     """
@@ -271,14 +279,52 @@ def log_gains(tree: Tree, root: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(tree: Tree, lexicon: Lexicon) -> Callable:
+def keys_of(grams: np.ndarray) -> list[np.ndarray]:
+    """The keys of the weights that a gram's score is the sum of: for each depth its context's, then its entry's."""
+    parts = [part for d in range(1, DEPTH + 1) for part in (_low(grams >> np.uint64(_BITS), d), _low(grams, d + 1))]
+    return [part | np.uint64(kind << _KIND) for kind, part in enumerate(parts)]
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> np.uint64(64 - _FILTER)).astype(np.int64)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        slot = np.unique(_slot(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+        yield batch_of(arrow("page long, slot long"), slot >> _PAGE, slot)
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bitmap of the slots of each page; a page's rows are in one task."""
+    pages: dict[int, np.ndarray] = {}
+    for b in batches:
+        page, slot = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        for p in np.unique(page).tolist():
+            pages.setdefault(p, np.zeros(1 << _PAGE, bool))[slot[page == p] & ((1 << _PAGE) - 1)] = True
+    if pages:
+        yield batch_of(arrow("page long, bits binary"), list(pages), [np.packbits(x).tobytes() for x in pages.values()])
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """2^_FILTER bits, set where a key may be: the driver gathers these, whatever the number of keys."""
+    bits = np.zeros(1 << (_FILTER - 3), np.uint8)
+    size = 1 << (_PAGE - 3)
+    for r in keys.mapInArrow(_slots, "page long, slot long").distinct().repartition("page").mapInArrow(_pages, "page long, bits binary").collect():
+        bits[r["page"] * size : (r["page"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _score(near: Table, lexicon: Lexicon) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = texts_of(b.column(3))
             for i, j in slices(off):
                 n = j - i
                 t = read(lexicon, buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                gain = np.bincount(t.owner, log_gains(tree, lexicon.root, t.grams), n)
+                gain = np.zeros(n)
+                for keys in keys_of(t.grams):
+                    gain += np.bincount(t.owner, near.find(keys)[1], n)
                 tokens = np.bincount(t.doc, minlength=n) + 1
                 known = np.bincount(t.doc, t.counts > 0, n).astype(np.int64) + int(lexicon.end > 0)
                 base = np.bincount(t.doc, np.where(t.counts > 0, lexicon.log10(t.counts), 0.0), n) + lexicon.log10(lexicon.end)
@@ -287,6 +333,24 @@ def _score(tree: Tree, lexicon: Lexicon) -> Callable:
     return run
 
 
+def _far(lexicon: Lexicon, bits: np.ndarray) -> Callable:
+    """The keys of each text that may be among the weights that aren't sent to all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, off = texts_of(b.column(1))
+            for i, j in slices(off):
+                t = read(lexicon, buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                for keys in keys_of(t.grams):
+                    slot = _slot(keys)
+                    at = np.flatnonzero(bits[slot >> 3] & (np.uint8(128) >> (slot & 7).astype(np.uint8)))
+                    _, first, n = np.unique(mix(keys[at] ^ mix(t.owner[at].astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+                    at = at[first]
+                    yield batch_of(arrow(FAR), b.column(0).take(pa.array(t.owner[at] + i)), keys[at].view(np.int64), n.astype(np.int64))
+
+    return run
+
+
 def _rare(lexicon: Lexicon) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -327,17 +391,54 @@ def _lexicon(words: DataFrame) -> tuple[Lexicon, float]:
     return Lexicon(h[by], counts[by], symbols[by], int(said["end"]), int(said["tokens"]), int(said["distinct"]), np.log10(mass / total)), least
 
 
-def _tree(grams: DataFrame, lexicon: Lexicon) -> Tree:
-    """What the driver gathers is at most 1/CONTEXT_SHARE contexts and 1/ENTRY_SHARE entries for each depth."""
-    contexts, entries = [], []
+def _weights(grams: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The tree as rows (key, value, n): log10 weights whose sum over :func:`keys_of` is a gram's gain over the base, and their counts.
+
+    A context's is the weight of its suffix's distribution, an entry's is what its probability exceeds this by.
+    """
+    spark, levels = grams.sparkSession, []
+    mask = lambda symbols: F.lit((1 << (_BITS * symbols)) - 1)
+    seen = np.flatnonzero(lexicon.root > lexicon.root.min())
+    seen = seen if len(seen) else np.arange(1)
+    # At most _SYMBOLS rows.
+    below = F.broadcast(spark.createDataFrame(pa.table({"sub": seen.astype(np.int64), "below": 10.0 ** lexicon.root[seen]})))
     for d in range(1, DEPTH + 1):
-        low = F.lit((1 << (_BITS * (d + 1))) - 1)
-        joint = grams if d == DEPTH else grams.groupBy(F.col("gram").bitwiseAND(low).alias("gram")).agg(F.sum("n").alias("n"))
-        ctx = grams.groupBy(F.shiftright(F.col("gram").bitwiseAND(low), _BITS).alias("gram")).agg(F.sum("n").alias("n"))
-        for out, df, share in ((entries, joint, ENTRY_SHARE), (contexts, ctx, CONTEXT_SHARE)):
-            found = df.filter(F.col("n") >= share * lexicon.tokens).toPandas()
-            out.append((found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)))
-    return build(contexts, entries, lexicon.root)
+        joint = grams if d == DEPTH else grams.groupBy(F.col("gram").bitwiseAND(mask(d + 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        ctx = grams.groupBy(F.shiftright(F.col("gram").bitwiseAND(mask(d + 1)), _BITS).alias("ctx")).agg(F.sum("n").alias("total"))
+        entries = joint.filter(F.col("n") >= ENTRY_COUNT).withColumn("ctx", F.shiftright("gram", _BITS)).withColumn("sub", F.col("gram").bitwiseAND(mask(d)))
+        # An entry's suffix is one, as it is at least as frequent.
+        v = entries.join(ctx.filter(F.col("total") >= CONTEXT_COUNT), "ctx").join(below, "sub")
+        own, all_ = Window.partitionBy("ctx"), F.col("total") + SMOOTHING  # at most _SYMBOLS rows a context
+        v = v.withColumn("back", (all_ - F.sum("n").over(own)) / all_).withColumn("p", F.col("n") / all_ + F.col("back") * F.col("below"))
+        v = v.withColumn("need", F.sum(F.col("n") * F.log(F.col("p") / F.col("below"))).over(own) >= PENALTY * np.log(max(lexicon.tokens, 2)))
+        levels.append(stored(v.select("gram", "ctx", "n", "total", "back", "p", "below", "need")))
+        below = levels[-1].select(F.col("gram").alias("sub"), F.col("p").alias("below"))
+    out, longer = None, None
+    for d in range(DEPTH, 0, -1):
+        v, needed = levels[d - 1], levels[d - 1].filter("need").select("ctx")
+        if longer is not None:  # suffixes of states are states
+            needed = needed.unionByName(longer.select(F.col("ctx").bitwiseAND(mask(d)).alias("ctx")))
+        longer = needed.distinct()
+        kept = v.join(longer, "ctx", "left_semi")
+        key = lambda column, kind: F.col(column).bitwiseOR(F.lit(kind << _KIND)).alias("key")
+        contexts = kept.select(key("ctx", 2 * d - 2), F.log10("back").alias("value"), F.col("total").alias("n")).distinct()
+        rows = contexts.unionByName(kept.select(key("gram", 2 * d - 1), (F.log10("p") - F.log10("below") - F.log10("back")).alias("value"), "n"))
+        out = rows if out is None else out.unionByName(rows)
+    return stored(out)
+
+
+def _near(weights: DataFrame) -> tuple[Table, float]:
+    """The weights of the largest counts, about NEAR at most, and the count from which they are."""
+    octave = F.floor(F.log2("n") * 8)
+    sizes = weights.groupBy(octave.alias("o")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()  # at most 512 rows
+    held, least = 0, float("inf")
+    for r in sorted(sizes, key=lambda r: -r["o"]):
+        held += r["rows"]
+        if held > NEAR:
+            break
+        least = r["least"]
+    found = weights.filter(F.col("n") >= least).select("key", "value").toPandas()
+    return Table(found["key"].to_numpy(np.int64).view(np.uint64), found["value"].to_numpy(np.float64)), least
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fold: tuple[int, int] = (5, 1)) -> DataFrame:
@@ -354,8 +455,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     words = stored(train.mapInArrow(_count_words, WORDS).groupBy("word").agg(F.sum("n").alias("n")))
     lexicon, least = _lexicon(words)
     grams = stored(train.mapInArrow(_count_grams(lexicon), GRAMS).groupBy("gram").agg(F.sum("n").alias("n")))
-    tree = _tree(grams, lexicon)
-    scored = rows.mapInArrow(_score(tree, lexicon), SCORES)
+    weights = _weights(grams, lexicon)
+    near, often = _near(weights)
+    scored = rows.mapInArrow(_score(near, lexicon), SCORES)
+    rest = weights.filter(F.col("n") < often)
+    if not rest.isEmpty():
+        far = rows.select("rid", "text").mapInArrow(_far(lexicon, _filter(rest.select("key"))), FAR).join(rest.select("key", "value").hint("merge"), "key")
+        far = far.groupBy("rid").agg(F.sum(F.col("n") * F.col("value")).alias("far"))
+        scored = scored.join(far, "rid", "left").withColumn("gain", F.col("gain") + F.coalesce("far", F.lit(0.0))).drop("far")
     # Rare words only: none of them is a hot key, and no position is shuffled, only different (document, word) pairs.
     rare = rows.select("rid", "text").mapInArrow(_rare(lexicon), RARE).join(words.filter((F.col("n") < least) & (F.length("word") > 0)).withColumnRenamed("n", "c"), "word", "left")
     total = lexicon.tokens + 0.5 * (lexicon.distinct + 1)

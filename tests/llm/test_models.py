@@ -187,6 +187,60 @@ def test_tree_matches_dictionaries():
             assert np.isclose(sum(prob(c, s) for s in root), 1)
 
 
+def packed(grams):
+    bits = suffix_tree._BITS
+    return np.array([sum(s << (bits * k) for k, s in enumerate(reversed(g))) for g in grams], np.uint64)
+
+
+@pytest.mark.parametrize("tokens", [30_000, 10**9])
+def test_weights_do_not_depend_on_the_share(spark, tokens):
+    """What is frequent enough counts, be it as small a share of a large input: the written tree is that built in memory."""
+    rng = np.random.default_rng(5)
+    seq = [0, 0]
+    for _ in range(30_000):
+        seq.append(int(rng.choice(30, p=np.roll([0.71, *[0.01] * 29], 3 * seq[-1] + 7 * seq[-2]))) + 2)
+    grams = Counter(tuple(seq[k - 2 : k + 1]) for k in range(2, len(seq)))
+    root = np.full(suffix_tree._SYMBOLS, -9.0)
+    share = Counter(seq[2:])
+    root[list(share)] = np.log10(np.array(list(share.values())) / 30_000)
+    levels = []
+    for d in (1, 2):
+        j, c = Counter(), Counter()
+        for g, n in grams.items():
+            j[g[2 - d :]] += n
+            c[g[2 - d : -1]] += n
+        levels.append([{k: n for k, n in x.items() if n >= least} for x, least in ((c, suffix_tree.CONTEXT_COUNT), (j, suffix_tree.ENTRY_COUNT))])
+    arrays = [[(packed(x), np.array(list(x.values()))) for x in level] for level in levels]
+    tree = suffix_tree.build([a for a, _ in arrays], [b for _, b in arrays], root, penalty=suffix_tree.PENALTY * math.log(tokens) / math.log(30_000))
+    none = np.zeros(0, np.int64)
+    table = spark.createDataFrame([(int(k), n) for k, n in zip(packed(grams), grams.values())], "gram long, n long")
+    rows = suffix_tree._weights(table, suffix_tree.Lexicon(none, none, none, 0, tokens, 30, root)).toPandas()
+    assert rows.key.is_unique and (rows.n < 1e-6 * tokens).any() == (tokens == 10**9)
+    weights = suffix_tree.Table(rows.key.to_numpy(np.int64).view(np.uint64), rows.value.to_numpy())
+    g = packed(grams)
+    want = suffix_tree.log_gains(tree, root, g)
+    assert (want != 0).mean() > 0.5
+    assert np.allclose(sum(weights.find(k)[1] for k in suffix_tree.keys_of(g)), want, atol=1e-4)
+
+
+def test_scores_are_the_same_wherever_weights_are_looked_up(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(300):
+        at, words = 0, []
+        for _ in range(100):
+            at = (3 * at + 1) % 40 if rng.random() < 0.7 else int(rng.integers(40))
+            words.append(f"w{at}")
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = {r.doc_id: r for r in suffix_tree.lm_scores(docs).collect()}
+    assert all(r.score > r.base_score for r in near.values())
+    for most in (0, 200):
+        monkeypatch.setattr(suffix_tree, "NEAR", most)
+        rows = suffix_tree.lm_scores(docs).collect()
+        assert len(rows) == len(near) and all(np.isclose(r.score, near[r.doc_id].score, atol=1e-3) for r in rows)
+
+
 def test_lookup_table():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 1 << 60, 5000).astype(np.uint64))
