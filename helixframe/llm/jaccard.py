@@ -5,7 +5,7 @@ coordinate with the probability of their Jaccard similarity. Each run of the joi
 from a node to the children (coordinate, value) of a few coordinates that the node's path chooses, the same for all
 sets there. Buckets of at most BLOCK sets are compared as they are. A larger one is split further, unless its sets
 agree so often that splitting can't part them; these, and what is still large at MOST_DEPTH, are compared in blocks.
-RUNS gives each pair at the threshold a chance of at least RECALL to meet.
+The number of runs gives each pair at the threshold a chance of at least RECALL to meet, also if all its buckets are split.
 
 Equal sets are one class from the start. A bucket compares sketches first, then complete sets, and yields each set's
 number of links and a spanning forest, never its pairs; a pair that meets in several buckets is counted in one.
@@ -88,15 +88,36 @@ def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(arrow(EMBEDDED), b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), [len(s) for s in sets], s1, s2, [c.tobytes() for c in embed(sets)])
 
 
+def meets(rate: float | np.ndarray) -> float | np.ndarray:
+    """The least probability with which sets that agree in ``rate`` of their coordinates meet in a run: its buckets are all split to the end."""
+    below = 1.0
+    for _ in range(MOST_DEPTH - 1):
+        below = 1 - (1 - rate * below) ** BRANCHES
+    return rate * below
+
+
 def runs_for(threshold: float, recall: float) -> int:
-    """Runs of one coordinate each until a pair at the threshold meets with probability ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+    """Runs until a pair at the threshold meets with probability ``recall`` even if all its buckets are split.
+
+    The runs choose from the same coordinates, so a pair that happens to agree in few of them is lost in all runs more often.
+    """
+    if threshold >= 1:
+        return 1
+    agree = np.arange(COORDINATES + 1)
+    ways = np.array([math.lgamma(COORDINATES + 1) - math.lgamma(k + 1) - math.lgamma(COORDINATES - k + 1) for k in agree])
+    share = np.exp(ways + agree * math.log(threshold) + (COORDINATES - agree) * math.log(1 - threshold))
+    miss = 1 - meets(agree / COORDINATES)
+    number = 1
+    while number < COORDINATES and share @ miss**number > 1 - recall:
+        number += 1
+    return number
 
 
 def _chosen(path: np.ndarray, k: int) -> np.ndarray:
-    """The coordinate that a path chooses as its ``k``-th."""
+    """The coordinate that a path chooses as its ``k``-th; they differ, as the step is odd."""
+    h = mix(path + np.uint64(0xD1342543DE82EF95))
     with np.errstate(over="ignore"):
-        return (mix(path + np.uint64(k + 1) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.int64) % COORDINATES
+        return (((h >> np.uint64(32)) + np.uint64(k) * (h | np.uint64(1))) % np.uint64(COORDINATES)).astype(np.int64)
 
 
 def _split(branches: int) -> Callable:

@@ -240,6 +240,40 @@ def test_large_groups_lose_no_links(spark, monkeypatch, block):
     assert want > 1000 and found >= 0.99 * want
 
 
+def test_runs_reach_the_recall_where_buckets_are_split():
+    """The walk of pairs at the threshold through buckets that are all split to the end, by the coordinates that paths choose."""
+    rng = np.random.default_rng(12)
+    number, trials = jaccard.runs_for(jaccard.THRESHOLD, jaccard.RECALL), 20_000
+    same = rng.random((trials, jaccard.COORDINATES)) < jaccard.THRESHOLD
+    met = np.zeros(trials, bool)
+    for r in range(number):
+        pair = np.flatnonzero(same[:, r * (jaccard.COORDINATES // number)])
+        path = rng.integers(0, 1 << 63, len(pair)).astype(np.uint64)
+        for _ in range(jaccard.MOST_DEPTH - 1):
+            chosen = np.stack([jaccard._chosen(path, k) for k in range(jaccard.BRANCHES)])
+            assert all((chosen[a] != chosen[b]).all() for a in range(jaccard.BRANCHES) for b in range(a))
+            pair = np.concatenate([pair[same[pair, c]] for c in chosen])
+            path = rng.integers(0, 1 << 63, len(pair)).astype(np.uint64)
+        met[pair] = True
+    assert met.mean() >= jaccard.RECALL - 0.002
+
+
+def test_pairs_at_the_threshold_in_small_blocks(spark, monkeypatch):
+    """Pairs of a similarity from 0.5 to 0.55 that share their frequent grams with all other texts, so that buckets are split."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(60)]
+    texts = {}
+    for k in range(300):
+        shared = [word() for _ in range(75)]
+        for s in range(2):
+            texts[2 * k + s] = " ".join(passage + shared + [word() for _ in range(58)])
+    rows = jaccard.similar(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    found, want = check_join(rows, texts)
+    assert want >= 600 and found >= 0.98 * want
+
+
 def test_join_odd_rows(odd, none):
     rows = jaccard.similar(odd).collect()
     assert len(rows) == odd.count()
