@@ -32,6 +32,7 @@ EMBEDDED = "rid long, id long, size long, s1 long, s2 long, coords binary"
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _EDGES = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(64 - int(math.log2(COORDINATES)))
+_SALTS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def gram_sets(buf: np.ndarray, off: np.ndarray, n: int = NGRAM) -> list[np.ndarray]:
@@ -56,25 +57,21 @@ def gram_sets(buf: np.ndarray, off: np.ndarray, n: int = NGRAM) -> list[np.ndarr
 
 
 def embed(sets: list[np.ndarray]) -> np.ndarray:
-    """One-permutation minima (sets, COORDINATES); an empty part takes the next filled one's, marked by the distance."""
+    """One-permutation minima (sets, COORDINATES); an empty part takes the set's minimum under a hash function of its own.
+
+    Two sets agree in a part with the probability of their similarity, also where both have it empty, and the parts of
+    small sets are as independent as those of large ones.
+    """
     out = np.zeros((len(sets), COORDINATES), np.uint64)
-    filled = np.zeros((len(sets), COORDINATES), bool)
     for k, s in enumerate(sets):
         if len(s):
             at = np.searchsorted(s, _EDGES)
             ends = np.append(at[1:], len(s))
-            filled[k] = ends > at
             out[k] = s[np.minimum(at, len(s) - 1)]
-    any_ = filled.any(axis=1)
-    lacking = any_ & ~filled.all(axis=1)
-    with np.errstate(over="ignore"):
-        if lacking.any():
-            f = np.concatenate([filled[lacking]] * 2, axis=1)
-            nxt = np.where(f, np.arange(2 * COORDINATES), 4 * COORDINATES)
-            nxt = np.minimum.accumulate(nxt[:, ::-1], axis=1)[:, ::-1][:, :COORDINATES]
-            distance = nxt - np.arange(COORDINATES)
-            out[lacking] = np.take_along_axis(out[lacking], nxt % COORDINATES, axis=1) + distance.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mix(out) >> np.uint64(32)).astype(np.uint32)
+            empty = np.flatnonzero(ends == at)
+            if len(empty):
+                out[k, empty] = mix(s[None, :] ^ _SALTS[empty, None]).min(axis=1)
+    return (mix(out) >> np.uint64(32)).astype(np.uint32)
 
 
 def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

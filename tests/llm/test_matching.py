@@ -274,6 +274,30 @@ def test_pairs_at_the_threshold_in_small_blocks(spark, monkeypatch):
     assert want >= 600 and found >= 0.98 * want
 
 
+@pytest.mark.parametrize("union", [2, 4, 8, 16, 40])
+def test_sketches_of_small_sets_at_the_threshold(union):
+    """The sift's bound holds for sets of few grams too."""
+    rng = np.random.default_rng(union)
+    grams = rng.integers(0, 1 << 63, (4000, union)).astype(np.uint64) * np.uint64(2)
+    small = jaccard.embed([np.sort(g[: union // 2]) for g in grams])
+    large = jaccard.embed([np.sort(g) for g in grams])
+    rate = (small == large)[:, :: jaccard.COORDINATES // jaccard.SKETCH].mean(axis=1)
+    assert abs(rate.mean() - 0.5) < 0.02 and (rate < 0.25).mean() < 0.002
+
+
+def test_short_texts_at_the_threshold(spark):
+    rng = random.Random(14)
+    texts = {}
+    for k in range(200):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(22)]
+        for n in (3, 4, 6):  # one, two and four trigrams
+            texts[len(texts)] = " ".join([f"n{n}", *words[: n - 1]])
+            texts[len(texts)] = " ".join([f"n{n}", *words[: 2 * n - 3]])
+    rows = jaccard.similar(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    found, want = check_join(rows, texts)
+    assert want >= 1200 and found >= 0.985 * want
+
+
 def test_join_odd_rows(odd, none):
     rows = jaccard.similar(odd).collect()
     assert len(rows) == odd.count()
