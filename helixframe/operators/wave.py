@@ -49,10 +49,10 @@ def smoothing(wave: DataFrame, neighbours: DataFrame) -> DataFrame:
     return wave.select("read_id", F.col("bucket_id").alias("neighbour"), F.col("p").alias("_q")).join(neighbours, "neighbour").groupBy("read_id", "bucket_id").agg(F.sum(F.col("weight") * F.col("_q")).alias("support"))
 
 
-def em_step(wave: DataFrame, *, config: EmConfig = EmConfig(), likelihood: Column | None = None, ai_prior: Column | None = None, bio: DataFrame | None = None, neighbours: DataFrame | None = None) -> DataFrame:
+def em_step(wave: DataFrame, *, config: EmConfig = EmConfig(), likelihood: Column | None = None, ai_prior: Column | None = None, bio: DataFrame | None = None, neighbours: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
     """One round: damped update by likelihood, coverage and priors, then normalisation for each read.
 
-    ``bio``: (bucket_id, bio_prior), absent buckets weigh 1; ``neighbours``: as :func:`neighbourhood` gives them.
+    ``evidence``: (read_id, bucket_id, likelihood) of a read's own, absent pairs have 0; ``bio``: (bucket_id, bio_prior), absent buckets weigh 1; ``neighbours``: as :func:`neighbourhood` gives them.
     """
     c = config
     w = wave.join(coverage(wave), "bucket_id")
@@ -60,6 +60,10 @@ def em_step(wave: DataFrame, *, config: EmConfig = EmConfig(), likelihood: Colum
     for term, weight in ((likelihood, c.likelihood_weight), (ai_prior, c.ai_weight)):
         if term is not None:
             f = f * (term if weight == 1 else F.pow(term, F.lit(weight)))
+    if evidence is not None:
+        w = w.join(evidence.select("read_id", "bucket_id", F.col("likelihood").alias("_l")), ["read_id", "bucket_id"], "left")
+        own = F.coalesce("_l", F.lit(0.0))
+        f = f * (own if c.likelihood_weight == 1 else F.pow(own, F.lit(c.likelihood_weight)))
     if bio is not None:
         w = w.join(bio.select("bucket_id", "bio_prior"), "bucket_id", "left")
         prior = F.coalesce("bio_prior", F.lit(1.0))
@@ -137,17 +141,18 @@ def should_refine(wave: DataFrame, *, sure: float = 0.9, share: float = 0.8) ->
     return s.withColumn("share", ratio("n_sure", "n_reads")).withColumn("refine", F.col("share") >= share)
 
 
-def run_levels(reads: DataFrame, levels: list[DataFrame], children: list[DataFrame], *, config: EmConfig = EmConfig(), **terms) -> DataFrame:
+def run_levels(reads: DataFrame, levels: list[DataFrame], children: list[DataFrame], *, config: EmConfig = EmConfig(), evidence: list[DataFrame] | None = None, **terms) -> DataFrame:
     """Uniform start over the coarsest buckets, then EM and refinement level by level: the finest wave.
 
-    ``levels[0]``: (bucket_id); ``children[i]``: (parent, child) from level i to i + 1.
+    ``levels[0]``: (bucket_id); ``children[i]``: (parent, child) from level i to i + 1; ``evidence[i]``: as
+    :func:`em_step` takes it, for the buckets of level i.
     """
     n = levels[0].count()
     wave = reads.select("read_id").join(bounded(levels[0].select("bucket_id"))).withColumn("p", F.lit(1.0 / max(n, 1)))
     for k in range(len(children) + 1):
         if k:
             wave = refine(wave, children[k - 1])
-        active, done = run_em(wave, config=config, **terms)
+        active, done = run_em(wave, config=config, evidence=evidence[k] if evidence else None, **terms)
         fixed = done.select("read_id", F.col("best_bucket").alias("bucket_id"), F.lit(1.0).alias("p"))
         wave = cut(active.select("read_id", "bucket_id", "p").unionByName(fixed))
     return wave

@@ -6,7 +6,7 @@ from ..operators import graph as G
 from ..operators import records as X
 from ..operators import relational as R
 from ..operators import wave as W
-from ..runtime import q, table
+from ..runtime import cut, q, table
 from .base import query
 from .wave import wave
 
@@ -113,8 +113,10 @@ def vector_normalise(spark, d):
 @query("stage2_levels")
 def stage2_levels(spark, d):
     """The whole hierarchical loop: uniform over regions, refined to nations, then to suppliers, by the reads' weights."""
-    w = wave(spark, d).select("read_id").distinct()
-    p = A.pyramid(spark, d)
+    w, p = cut(wave(spark, d)), A.pyramid(spark, d)
+    # A read's weight of a bucket is that of the finest buckets in it.
+    below = w.withColumnRenamed("bucket_id", "l2").join(p.select("l2", "l1", "l0"), "l2")
+    evidence = [cut(below.groupBy("read_id", F.col(level).alias("bucket_id")).agg(F.sum("p").alias("likelihood"))) for level in ("l0", "l1", "l2")]
     top = p.select(F.col("l0").alias("bucket_id")).distinct()
     down = [p.select(F.col("l0").alias("parent"), F.col("l1").alias("child")).distinct(), p.select(F.col("l1").alias("parent"), F.col("l2").alias("child")).distinct()]
-    return W.run_levels(w, [top], down, config=W.EmConfig(max_rounds=4))
+    return W.run_levels(w.select("read_id").distinct(), [top], down, evidence=evidence)

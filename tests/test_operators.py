@@ -68,6 +68,18 @@ def test_levels_refine_down(spark):
     assert len(sums) == 2 and all(abs(x.s - 1) < 1e-9 and x.n == 3 for x in sums)
 
 
+def test_levels_follow_the_reads_weights(spark, small):
+    from helixframe.plans.extras import stage2_levels
+    from helixframe.plans.wave import wave as weights
+
+    got = stage2_levels(spark, small).toPandas()
+    own = weights(spark, small).toPandas()
+    assert set(got.read_id) == set(own.read_id)
+    best = got.sort_values("p").groupby("read_id").tail(1)
+    assert best.bucket_id.nunique() > 1
+    assert len(best.merge(own, on=["read_id", "bucket_id"])) > 0.95 * len(best)
+
+
 def test_dropout_kinds(spark):
     df = frame(spark, "read_id long, bucket_id long, p double", (1, 0, 0.0), (2, 0, 1.0), (3, 0, 0.5), (3, 1, 0.5), (4, 0, 0.45), (4, 1, 0.3), (5, 0, 0.7), (5, 1, 0.3))
     assert {x.read_id: x.dropout for x in wave.classify(df).collect()} == {1: "Orphaned", 2: "Converged", 3: "Ambiguous", 4: "LowConfidence", 5: "None"}
