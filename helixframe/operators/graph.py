@@ -165,8 +165,8 @@ def well_connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.groupBy("label").agg(F.count_distinct("root").alias("n_parts")).withColumn("connected", F.col("n_parts") == 1)
 
 
-def communities(edges: DataFrame, *, resolution: float = 1.0, rounds: int = 12, least_gain: float = 1e-7) -> DataFrame:
-    """(node, label): local moving in bulk rounds, half of the nodes (by a hash of node and round) moving in each.
+def communities(edges: DataFrame, *, resolution: float = 1.0, sweeps: int = 100, least_gain: float = 1e-7) -> DataFrame:
+    """(node, label): local moving in bulk sweeps of two rounds, one half of the nodes (by a hash of node and sweep) moving in each.
 
     A node moves to the neighbouring community of largest modularity gain, ties to the smaller label; the graph is
     symmetric. Each round is joins and aggregates; the driver sees one number.
@@ -176,7 +176,7 @@ def communities(edges: DataFrame, *, resolution: float = 1.0, rounds: int = 12,
     m = two_m / 2
     labels = strength.select("node", F.col("node").alias("label"))
     still = 0
-    for r in range(rounds):
+    for r in range(2 * sweeps):
         own = labels.join(strength, "node")
         sigma = own.groupBy("label").agg(F.sum("k").alias("sigma"))
         links = edges.filter("src <> dst").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
@@ -184,13 +184,13 @@ def communities(edges: DataFrame, *, resolution: float = 1.0, rounds: int = 12,
         there = links.join(sigma.withColumnRenamed("label", "to").withColumnRenamed("sigma", "s_to"), "to")
         j = here.join(there, "node").filter("to <> label")
         gain = (F.col("w") - F.coalesce("w_here", F.lit(0.0))) / m - resolution * F.col("k") * (F.col("s_to") - (F.col("sigma") - F.col("k"))) / (2 * m * m)
-        moves = j.withColumn("gain", gain).filter((F.col("gain") > least_gain) & (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0))
+        moves = j.withColumn("gain", gain).filter((F.col("gain") > least_gain) & (F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2))
         best = moves.groupBy("node").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("_new"))
         after = cut(labels.join(best, "node", "left").select("node", F.coalesce("_new", "label").alias("label"), F.col("_new").isNotNull().alias("moved")))
         n = after.filter("moved").count()
         labels = after.select("node", "label")
-        still = 0 if n else still + 1
-        if still == 2:  # both halves stand still
+        still = n if r % 2 == 0 else still + n
+        if r % 2 and not still:  # both halves stand still
             break
     return labels
 

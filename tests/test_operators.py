@@ -80,6 +80,26 @@ def test_levels_follow_the_reads_weights(spark, small):
     assert len(best.merge(own, on=["read_id", "bucket_id"])) > 0.95 * len(best)
 
 
+def test_communities_stand_still(spark):
+    """No node is left that would gain by a move."""
+    import random
+
+    rng = random.Random(3)
+    pairs = {tuple(sorted(rng.sample(range(150), 2))) for _ in range(300)}
+    both = [(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs]
+    label = {x.node: x.label for x in graph.communities(frame(spark, "src long, dst long, weight double", *both)).collect()}
+    k, total, links = {}, {}, {}
+    for a, b, w in both:
+        k[a] = k.get(a, 0) + w
+        links.setdefault(a, {}).setdefault(label[b], 0)
+        links[a][label[b]] += w
+    for v in k:
+        total[label[v]] = total.get(label[v], 0) + k[v]
+    m = len(pairs)
+    gains = [(w - links[v].get(label[v], 0)) / m - k[v] * (total[c] - (total[label[v]] - k[v])) / (2 * m * m) for v in k for c, w in links[v].items() if c != label[v]]
+    assert max(gains) <= 1e-7
+
+
 def test_dropout_kinds(spark):
     df = frame(spark, "read_id long, bucket_id long, p double", (1, 0, 0.0), (2, 0, 1.0), (3, 0, 0.5), (3, 1, 0.5), (4, 0, 0.45), (4, 1, 0.3), (5, 0, 0.7), (5, 1, 0.3))
     assert {x.read_id: x.dropout for x in wave.classify(df).collect()} == {1: "Orphaned", 2: "Converged", 3: "Ambiguous", 4: "LowConfidence", 5: "None"}
