@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grace import decided, folded
-from .shared import table
+from .shared import fresh, numbered, table
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fold_bytes: int = 24 << 20, table_bytes: int = 64 << 20) -> DataFrame:
@@ -16,7 +16,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty texts are a group. The row with the largest id stays; a null id is smaller than all others; of rows that
     repeat the largest id exactly one is ``kept``. An empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("content"))
+    docs = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("content")))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "id", "content")
     local = folded(rows, lower=True, fold_bytes=fold_bytes)
     groups = decided(local, table_bytes=table_bytes).select(F.col("rid").alias("rep"), "keep_rid", "keep_id", "group_size")
     return local.select("rid", "id", "rep", "digest").join(groups, "rep").select(
@@ -25,8 +26,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row for each group of equal texts (see :func:`exact_groups`); all columns stay."""
-    rid = "__row"
+    """``docs`` with one row for each group of equal texts (see :func:`exact_groups`); all columns stay, whatever their names.
+
+    Null and empty texts are one group; of rows that repeat the largest id of a group one stays.
+    """
+    docs = numbered(docs)
+    rid = fresh(docs, "row_number")
     rows = docs.withColumn(rid, F.monotonically_increasing_id())
     local = folded(rows.select(rid, F.col(id_col).cast("long"), F.col(text_col).cast("string")), lower=True)
     winners = decided(local).filter("rid = keep_rid").select(F.col("rid").alias(rid))

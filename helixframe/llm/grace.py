@@ -4,7 +4,8 @@
    different content, so a content that a third of all rows share crosses the network once a task, not once a row.
 2. *Grace.* These records are partitioned by their digest. A task that gets more bytes than its table may hold
    partitions them by further digest bits to spill files, and those again, until a bucket fits. Tables compare
-   digests first and then the complete bytes: equal digests alone never make two records equal.
+   digests first and then the complete bytes: equal digests alone never make two records equal. A table, and a spill
+   file too, holds a content once, whatever the number of its records: of the others eight bytes are kept.
 3. *Join.* Every row finds its group by the row number of the record that stood for it in step 1.
 
 Spill files lie in the folder of ``spark.checkpoint.dir``, reached by ``pyarrow.fs``; they live no longer than
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import LOWER, arrow, shared_dir
 
 FOLDED = "rid long, id long, rep long, digest binary, n_bytes long, rows long, content binary"
-DECIDED = "rid long, keep_rid long, keep_id long, group_size long, digest binary, payload binary"
+DECIDED = "rid long, keep_rid long, keep_id long, group_size long, digest binary, n_bytes long, payload binary"
 
 
 class OpenTable:
@@ -113,24 +115,46 @@ def _fold(lower: bool, most: int, digest: Callable[[bytes], bytes]) -> Callable:
     return run
 
 
+class Group:
+    """The records of one content: their numbers, the best of them, and how many rows they stand for."""
+
+    __slots__ = ("best", "rids", "rows")
+
+    def __init__(self) -> None:
+        self.rids, self.rows, self.best = array("q"), 0, None
+
+    def add(self, rids: array | list, best: tuple, rows: int) -> None:
+        self.rids.extend(rids)
+        self.rows += rows
+        if self.best is None or _order(*best) > _order(*self.best):
+            self.best = best
+
+
 class _Spill:
-    """Files that hold the records of one level, by the digest byte of that level."""
+    """Files that hold the groups of one level, by the digest byte of that level."""
 
     def __init__(self, base: str, level: int, fan: int) -> None:
         self.fs, root = pafs.FileSystem.from_uri(base)
-        self.root, self.level, self.fan, self.open = f"{root}/grace-{uuid.uuid4().hex}", level, fan, {}
+        self.root, self.level, self.fan, self.open, self.bytes = f"{root}/grace-{uuid.uuid4().hex}", level, fan, {}, 0
         self.fs.create_dir(self.root, recursive=True)
 
-    def add(self, records: list[tuple]) -> None:
-        parts: dict[int, list[tuple]] = {}
-        for r in records:
-            parts.setdefault(r[3][16 + self.level] % self.fan, []).append(r)
-        for p, rows in parts.items():
-            data = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.large_binary()))], names=list("abcde"))
-            if p not in self.open:
-                sink = self.fs.open_output_stream(f"{self.root}/{p}")
-                self.open[p] = (sink, pa.ipc.new_stream(sink, data.schema))
-            self.open[p][1].write_batch(data)
+    def add(self, t: OpenTable, groups: list[Group]) -> None:
+        parts: dict[int, list[int]] = {}
+        for k, d in enumerate(t.digests):
+            parts.setdefault(d[16 + self.level] % self.fan, []).append(k)
+        for p, all_ in parts.items():
+            for at in range(0, len(all_), 512):
+                ks = all_[at : at + 512]
+                columns = [
+                    pa.array([t.digests[k] for k in ks], pa.binary()), pa.array([t.contents[k] for k in ks], pa.large_binary()), pa.array([groups[k].rids.tobytes() for k in ks], pa.large_binary()),
+                    pa.array([groups[k].best[0] for k in ks], pa.int64()), pa.array([groups[k].best[1] for k in ks], pa.int64()), pa.array([groups[k].rows for k in ks], pa.int64()),
+                ]
+                data = pa.RecordBatch.from_arrays(columns, names=list("abcdef"))
+                if p not in self.open:
+                    sink = self.fs.open_output_stream(f"{self.root}/{p}")
+                    self.open[p] = (sink, pa.ipc.new_stream(sink, data.schema))
+                self.open[p][1].write_batch(data)
+                self.bytes += data.nbytes
 
     def close(self) -> None:
         for sink, writer in self.open.values():
@@ -140,68 +164,72 @@ class _Spill:
     def read(self, p: int) -> Iterator[tuple]:
         with self.fs.open_input_stream(f"{self.root}/{p}") as source, pa.ipc.open_stream(source) as stream:
             for b in stream:
-                yield from zip(*(c.to_pylist() for c in b.columns))
+                for digest, content, rids, id_, rid, rows in zip(*(c.to_pylist() for c in b.columns)):
+                    own = array("q")
+                    own.frombytes(rids)
+                    yield digest, content, own, (id_, rid), rows
 
     def remove(self) -> None:
         self.fs.delete_dir(self.root)
 
 
-def _bucket(records: Iterator[tuple], base: str, most: int, level: int, fan: int) -> Iterator[list[tuple]]:
-    """The groups of ``records`` (rid, id, rows, digest, content), each a list; spills what doesn't fit.
+def _bucket(records: Iterator[tuple], base: str, most: int, level: int, fan: int, on_spill: Callable | None = None) -> Iterator[tuple[bytes, bytes, Group]]:
+    """The groups of ``records`` (digest, content, record numbers, (id, number) of the best, rows); spills what doesn't fit.
 
-    A level beyond the digest's bytes holds equal digests only; these were folded to one record a task and are
-    taken as they are.
+    A level beyond the digest's bytes would hold equal digests only, so it is taken as it is.
     """
-    held: list[tuple] = []
-    size, spill = 0, None
+    t, groups, size, spill = OpenTable(), [], 0, None
     try:
-        for r in records:
-            held.append(r)
-            size += 160 + len(r[4])
-            if size > most and level < 16 and len(held) > 1:
+        for digest, content, rids, best, rows in records:
+            k = t.find(digest, content)
+            if k == len(groups):
+                groups.append(Group())
+                size += 320 + len(content)
+            groups[k].add(rids, best, rows)
+            size += 8 * len(rids)
+            if size > most and level < 16 and len(groups) > 1:
                 spill = spill or _Spill(base, level, fan)
-                spill.add(held)
-                held, size = [], 0
+                spill.add(t, groups)
+                t, groups, size = OpenTable(), [], 0
         if spill is None:
-            t, groups = OpenTable(), []
-            for r in held:
-                k = t.find(r[3], r[4])
-                if k == len(groups):
-                    groups.append([])
-                groups[k].append(r)
-            yield from groups
+            yield from zip(t.digests, t.contents, groups)
             return
-        spill.add(held)
-        held = []
+        spill.add(t, groups)
+        t, groups = OpenTable(), []
         spill.close()
+        if on_spill:
+            on_spill(spill.bytes)
         for p in sorted(spill.open):
-            yield from _bucket(spill.read(p), base, most, level + 1, fan)
+            yield from _bucket(spill.read(p), base, most, level + 1, fan, on_spill)
     finally:
         if spill:
             spill.remove()
 
 
-def _grace(base: str, most: int, fan: int, payloads: bool) -> Callable:
+def _grace(base: str, most: int, fan: int, payload: Callable | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(DECIDED)
-        records = (r for b in _small(batches) for r in zip(*(c.to_pylist() for c in b.columns)))
-        out: list[tuple] = []
+        records = ((d, c, [rid], (id_, rid), n) for b in _small(batches) for rid, id_, n, d, c in zip(*(c.to_pylist() for c in b.columns)))
+        held: list[list] = [[] for _ in schema]
         size = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
-
-        for group in _bucket(records, base, most, 0, fan):
-            keep = max(group, key=lambda r: _order(r[1], r[0]))
-            total = sum(r[2] for r in group)
-            for r in group:
-                won = payloads and r is keep
-                out.append((r[0], keep[0], keep[1], total, r[3], r[4] if won else None))
-                size += 64 + (len(r[4]) if won else 0)
-            if size > 8 << 20:
-                yield flush()
-                out, size = [], 0
-        if out:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema)], schema=schema)
+
+        for digest, content, group in _bucket(records, base, most, 0, fan):
+            id_, keep = group.best
+            for at in range(0, len(group.rids), 1 << 16):
+                rids = group.rids[at : at + (1 << 16)]
+                for column, values in zip(held, (rids, [keep] * len(rids), [id_] * len(rids), [group.rows] * len(rids), [digest] * len(rids), [len(content)] * len(rids), [None] * len(rids))):
+                    column.extend(values)
+                size += 64 * len(rids)
+                if payload and keep in rids:
+                    held[-1][rids.index(keep) - len(rids)] = payload(content)
+                    size += len(content)
+                if size > 8 << 20:
+                    yield flush()
+                    held, size = [[] for _ in schema], 0
+        if size:
             yield flush()
 
     return run
@@ -212,7 +240,10 @@ def folded(rows: DataFrame, *, lower: bool, fold_bytes: int = 24 << 20, digest:
     return rows.mapInArrow(_fold(lower, fold_bytes, digest), FOLDED)
 
 
-def decided(local: DataFrame, *, table_bytes: int = 64 << 20, fan: int = 16, payloads: bool = False) -> DataFrame:
-    """A row for each record of ``local`` that has content: its group's kept row, id and size over all rows."""
+def decided(local: DataFrame, *, table_bytes: int = 64 << 20, fan: int = 16, payload: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """A row for each record of ``local`` that has content: its group's kept row, id and size over all rows.
+
+    The kept row's has the content as ``payload`` stores it (nothing if that is None).
+    """
     reps = local.filter(F.col("content").isNotNull()).select("rid", "id", "rows", "digest", "content")
-    return reps.repartition("digest").mapInArrow(_grace(shared_dir(local.sparkSession), table_bytes, fan, payloads), DECIDED)
+    return reps.repartition("digest").mapInArrow(_grace(shared_dir(local.sparkSession), table_bytes, fan, payload), DECIDED)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER_NP, arrow, batch_of, mix, runs, slices, span_hashes, stored, table, texts_of, window_hashes
+from .shared import arrow, batch_of, folded_case, fresh, holds, mix, numbered, runs, slices, span_hashes, stored, table, texts_of, window_hashes
 
 NGRAM, THRESHOLD, RECALL = 3, 0.5, 0.99
 COORDINATES, SKETCH, BLOCK, BRANCHES, MOST_DEPTH = 128, 64, 512, 3, 4
@@ -29,19 +29,15 @@ COORDINATES, SKETCH, BLOCK, BRANCHES, MOST_DEPTH = 128, 64, 512, 3, 4
 DENSE = 0.4
 EMBEDDED = "rid long, id long, size long, s1 long, s2 long, coords binary"
 
-_INSIDE = np.zeros(256, bool)
-_INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_INSIDE = bytes(int(48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256))
 _EDGES = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(64 - int(math.log2(COORDINATES)))
 _SALTS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def gram_sets(buf: np.ndarray, off: np.ndarray, n: int = NGRAM) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's word n-grams; a text of fewer words has one gram of all its words."""
-    low = LOWER_NP[buf]
-    if len(buf) > 1:
-        upper = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
-        low[1:][upper] += 32
-    starts, ends, doc = runs(_INSIDE[buf], off)
+    low, _ = folded_case(buf)
+    starts, ends, doc = runs(holds(buf, _INSIDE), off)
     tokens = span_hashes(low, starts, ends)
     grams = window_hashes(tokens, n)
     first = np.searchsorted(doc, np.arange(len(off)))
@@ -367,7 +363,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     without words (null and empty ones too) are one class without links. Null ids are smaller than all others;
     of rows that repeat an id each is a row. Sets are compared by 32-bit hashes of their grams.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), "id", "text")
     rows = stored(texts.mapInArrow(_embed, EMBEDDED))
     classes = stored(rows.groupBy("s1", "s2", "size").agg(F.max(F.struct("id", "rid", "coords")).alias("top"), F.count("*").alias("class_size")).select("s1", "s2", "size", "class_size", "top.*"))
     reps = classes.filter("size > 0")
@@ -401,8 +398,13 @@ def _sketch(coords):
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that are kept of their groups, with all their columns."""
-    key = "__row"
+    """The rows of ``docs`` that are kept of their groups (see :func:`similar`), with all their columns, whatever their names.
+
+    Texts without words (null and empty ones too) are one group, of which the row of the largest id is kept; of rows that
+    repeat an id and a text one is kept. An empty table stays empty.
+    """
+    docs = numbered(docs)
+    key = fresh(docs, "row_number")
     kept = similar(docs, id_col, text_col, **kw).filter("kept").select(F.col("row").alias(key))
     return docs.withColumn(key, F.monotonically_increasing_id()).join(kept, key, "left_semi").drop(key)
 

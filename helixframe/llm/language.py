@@ -17,17 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER_NP, arrow, batch_of, fold_of, slices, table, texts_of
+from .shared import LOWER, arrow, batch_of, fold_of, holds, slices, stored, table, texts_of, through
 
 #: Hashed n-grams, and the most texts for each language that the regression and the landmarks are taken from.
 DIMENSION, SAMPLE, LANDMARKS = 1 << 15, 600, 80
+#: The most texts and landmarks in all; with many languages each has its share of them.
+MOST_SAMPLE, MOST_LANDMARKS = 24_000, 1_600
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 _ROWS = 128
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
+_IS_LETTER = bytes(_LETTER.tolist())
 #: Letters of any script count by their UTF-8 bytes; everything else is a space.
-_CODE = np.where(_LETTER | (np.arange(256) >= 128), LOWER_NP, 32).astype(np.uint32)
+_CODE = bytes(LOWER[b] if _LETTER[b] or b >= 128 else 32 for b in range(256))
 
 
 def presence(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -36,7 +39,7 @@ def presence(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     flat = np.zeros(n * DIMENSION, bool)
     if not len(buf):
         return flat.reshape(n, DIMENSION)
-    code = _CODE[buf]
+    code = through(buf, _CODE).astype(np.uint32)
     row = np.repeat(np.arange(n, dtype=np.int64) * DIMENSION, np.diff(off))
     left = np.arange(len(buf)) - np.repeat(off[:-1], np.diff(off))  # bytes before this one in its text
     gram = np.zeros(len(buf), np.uint32)
@@ -54,7 +57,7 @@ def has_letter(col: pa.Array, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Whether each text has a letter of any script."""
     n = len(off) - 1
     found = np.zeros(n, bool)
-    at = np.flatnonzero(_LETTER[buf])
+    at = np.flatnonzero(holds(buf, _IS_LETTER))
     found[np.searchsorted(off, at[np.flatnonzero(np.diff(np.searchsorted(off, at, side="right"), prepend=-1))], side="right") - 1] = True
     for k in np.flatnonzero(~found & (np.diff(off) > 0)):
         found[k] = any(c.isalpha() for c in col[int(k)].as_py())
@@ -66,23 +69,47 @@ class Model(NamedTuple):
     matrix: np.ndarray  # (n-grams, languages)
 
 
+def _unit(packed: np.ndarray) -> np.ndarray:
+    """Presence rows of bits as rows of length 1."""
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
+_BLOCK = 256
+
+
 def fit(x: np.ndarray, langs: list[str], landmarks: np.ndarray, ridge: float = 1e-2) -> Model:
-    """``x``: presence rows; ``landmarks``: the numbers of those that are landmarks."""
+    """``x``: presence rows as packed bits; ``landmarks``: the numbers of those that are landmarks.
+
+    Rows are unpacked in blocks, and of the regression only sums over rows are held.
+    """
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((DIMENSION, 0), np.float32))
-    unit = x.astype(np.float32) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)).astype(np.float32)
-    marks = unit[landmarks]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    marks = x[landmarks]
+    m = len(marks)
+    blocks = range(0, m, _BLOCK)
+
+    def kernel(rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([rows @ _unit(marks[a : a + _BLOCK]).T for a in blocks], axis=1).astype(np.float64)
+
+    values, vectors = np.linalg.eigh(np.concatenate([kernel(_unit(marks[a : a + _BLOCK])) for a in blocks]))
     kept = values > 1e-8 * values[-1]
     root = vectors[:, kept] / np.sqrt(values[kept])
-    phi = (unit @ marks.T).astype(np.float64) @ root
-    phi = np.column_stack([phi, np.ones(len(phi))])
-    y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    share = 1 / np.maximum((y > 0).sum(axis=0), 1)
-    weight = np.where(y > 0, share, 0).sum(axis=1) * len(y) / len(names)  # every language weighs the same
-    w = np.linalg.solve((phi * weight[:, None]).T @ phi + ridge * np.eye(phi.shape[1]), (phi * weight[:, None]).T @ y)
-    return Model([*names], np.vstack([marks.T.astype(np.float64) @ root @ w[:-1], w[-1:]]).astype(np.float32))
+    number = np.array([names.index(n) for n in langs])
+    share = len(langs) / len(names) / np.bincount(number, minlength=len(names))  # every language weighs the same
+    r = root.shape[1] + 1
+    gram, right = ridge * np.eye(r), np.zeros((r, len(names)))
+    for a in range(0, len(x), _BLOCK):
+        own = number[a : a + _BLOCK]
+        phi = np.column_stack([kernel(_unit(x[a : a + _BLOCK])) @ root, np.ones(len(own))])
+        weighted = phi * share[own][:, None]
+        gram += weighted.T @ phi
+        right += weighted.T @ np.where(own[:, None] == np.arange(len(names)), 1.0, -1.0)
+    w = np.linalg.solve(gram, right)
+    back = (root @ w[:-1]).astype(np.float32)
+    matrix = sum(_unit(marks[a : a + _BLOCK]).T @ back[a : a + _BLOCK] for a in blocks)
+    return Model([*names], np.vstack([matrix, w[-1:]]).astype(np.float32))
 
 
 def predict(model: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,15 +137,24 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_on(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
     """The model of the ``sample`` texts for each language (all, if fewer) with the least hashes of their ids.
 
-    The first ``landmarks`` of each language are landmarks. Null languages and ids and empty texts are left out.
+    The first ``landmarks`` of each language are landmarks. Of many languages each has an equal share of MOST_SAMPLE texts
+    and MOST_LANDMARKS landmarks, so the driver's memory has a bound (4 KB a text). Null languages and ids and empty
+    texts are left out; of rows that repeat an id and a language one is taken.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("k is not null and lang is not null and text <> ''")
     # Each task keeps at most `sample` rows of a language before the shuffle (window group limit), texts aren't shuffled.
     ranked = rows.select("k", "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k"))).filter(F.col("rank") <= sample)
-    chosen = ranked.groupBy("k", "lang").agg(F.min("rank").alias("rank"))
-    found = rows.join(F.broadcast(chosen), ["k", "lang"]).select("lang", "rank", "text").mapInArrow(_sampled, "lang string, rank int, grams binary").collect()
-    found.sort(key=lambda r: (r["rank"], r["lang"], bytes(r["grams"])))
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r["grams"]) for r in found), np.uint8).reshape(len(found), DIMENSION // 8), axis=1)
+    chosen = stored(ranked.groupBy("k", "lang").agg(F.min("rank").alias("rank")))
+    count = chosen.select("lang").distinct().count()
+    if count > MOST_LANDMARKS:
+        raise ValueError(f"{count} languages; at most {MOST_LANDMARKS} can be told apart")
+    sample, landmarks = min(sample, MOST_SAMPLE // max(count, 1)), min(landmarks, MOST_LANDMARKS // max(count, 1))
+    # At most MOST_SAMPLE rows of two numbers and a language.
+    near = F.broadcast(chosen.filter(F.col("rank") <= sample))
+    found = rows.join(near, ["k", "lang"]).select("lang", "rank", "text").mapInArrow(_sampled, "lang string, rank int, grams binary")
+    found = found.groupBy("lang", "rank").agg(F.min("grams").alias("grams")).toArrow().to_pylist()
+    found.sort(key=lambda r: (r["rank"], r["lang"]))
+    x = np.frombuffer(b"".join(r["grams"] for r in found), np.uint8).reshape(len(found), DIMENSION // 8)
     return fit(x, [r["lang"] for r in found], np.flatnonzero([r["rank"] <= landmarks for r in found]))
 
 

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, arrow, batch_of, fold_of, runs, slices, span_hashes, table, texts_of
+from .shared import NONSPACE, arrow, batch_of, fold_of, holds, runs, slices, span_hashes, stored, table, texts_of
 
-#: The most labelled documents the field is fitted on.
-SAMPLE = 4000
+#: The most labelled documents the field is fitted on, and the most lines they may have in all (about 400 bytes each).
+SAMPLE, SAMPLE_LINES = 4000, 1 << 17
+SAMPLED = "k long, mark long, label int, n long, lines binary"
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 _LINE_BYTES = 1 << 20  # longer lines count as several
+_SLICE = 2 << 20  # chains of many texts are stepped through together
 
 _SETS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"?", b".", b",;:", b"|", b"#$%&*@^~", b"<>{}[]()\\/=+_", b"'\"`-", b" \t\r\v\f")
 _CLASSES = len(_SETS) + 1  # and bytes of characters outside ASCII
@@ -56,16 +58,17 @@ def line_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     ends = ends - ((ends > starts) & (buf[np.maximum(ends - 1, 0)] == 10) if len(buf) else 0)
     size = (ends - starts).astype(np.float64)
     columns = []
+    at = buf.astype(np.intp)
+    total = np.zeros(len(buf) + 1, np.uint64)
     for row in _TABLE:
         with np.errstate(over="ignore"):
-            total = np.zeros(len(buf) + 1, np.uint64)
-            np.cumsum(row[buf], out=total[1:])
+            np.cumsum(row[at], out=total[1:])
             s = total[ends] - total[starts]
         columns += [((s >> np.uint64(21 * k)) & np.uint64((1 << 21) - 1)).astype(np.float64) for k in range(3)]
     counts = np.stack(columns[:_CLASSES], axis=1)
     share = counts / np.maximum(size, 1)[:, None]
     # Words of the line: number, mean length, how many repeat the word before, how many are different.
-    nonspace = ~SPACES[buf] if len(buf) else np.zeros(0, bool)
+    nonspace = holds(buf, NONSPACE)
     ws, we, _ = runs(nonspace, off)
     line = np.searchsorted(starts, ws, side="right") - 1 if len(starts) else ws
     if len(empty):  # empty lines share their start with the next line; words belong to the last one that starts there
@@ -220,17 +223,19 @@ def scores(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        buf, off = texts_of(b.column(1))
-        for i, j in slices(off):
+        buf, off = texts_of(b.column(3))
+        for i, j in slices(off, _SLICE):
             doc, _, x = line_features(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             cut = np.searchsorted(doc, np.arange(j - i + 1))
-            yield batch_of(arrow("label int, lines binary"), b.column(0).slice(i, j - i), [x[a:e].astype(np.float32).tobytes() for a, e in zip(cut, cut[1:])])
+            yield batch_of(arrow(SAMPLED), *(b.column(c).slice(i, j - i) for c in range(3)), np.diff(cut), [x[a:e].astype(np.float32).tobytes() for a, e in zip(cut, cut[1:])])
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def fit_on(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Model:
     """The field fitted on the ``sample`` labelled documents (all, if there are fewer) with the least hashes of their ids.
 
-    Null labels and ids are left out; of conflicting labels of an id the lower counts.
+    Whole texts are taken in that order; a document whose lines would make more than ``lines`` in all is passed over, so
+    the driver gets a bounded number of bytes. Null labels and ids are left out; of conflicting labels of an id the lower
+    counts; rows that repeat an id and a text are one. Without labelled texts every score is 0.5.
     """
     chosen = (
         labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("k").agg(F.min("label").alias("label"))
@@ -238,19 +243,29 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     )
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
     # At most `sample` rows of two numbers, so the broadcast has a fixed bound.
-    rows = texts.join(F.broadcast(chosen), "k").select("label", "text").mapInArrow(_sampled, "label int, lines binary").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["lines"])))
-    x = [np.frombuffer(r["lines"], np.float32).reshape(-1, FEATURES).astype(np.float64) for r in rows]
+    rows = texts.join(F.broadcast(chosen), "k").select("k", F.xxhash64("text").alias("mark"), "label", "text").mapInArrow(_sampled, SAMPLED)
+    rows = stored(rows)
+    told = rows.groupBy("k", "mark").agg(F.max("n").alias("n")).orderBy(F.xxhash64("k"), "k", "mark").limit(sample).collect()
+    taken, total = [], 0
+    for r in told:
+        if total + r["n"] <= lines:
+            taken.append((r["k"], r["mark"]))
+            total += r["n"]
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(taken, "k long, mark long"))
+    found = rows.join(wanted, ["k", "mark"]).groupBy("k", "mark").agg(F.min("label").alias("label"), F.min("lines").alias("lines")).toArrow().to_pylist()
+    found.sort(key=lambda r: (r["label"], r["lines"]))
+    x = [np.frombuffer(r["lines"], np.float32).reshape(-1, FEATURES) for r in found]
     doc = np.repeat(np.arange(len(x)), [len(a) for a in x])
-    label = np.repeat(np.array([int(r["label"] > 0) for r in rows], np.int64), [len(a) for a in x])
-    return fit(doc, np.concatenate(x) if x else np.zeros((0, FEATURES)), label)
+    label = np.repeat(np.array([int(r["label"] > 0) for r in found], np.int64), [len(a) for a in x])
+    return fit(doc, np.concatenate(x).astype(np.float64) if x else np.zeros((0, FEATURES)), label)
 
 
 def _score(model: Model, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = texts_of(b.column(2))
-            s = np.concatenate([scores(model, buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off)] or [np.zeros(0)])
+            s = np.concatenate([scores(model, buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off, _SLICE)] or [np.zeros(0)])
             yield batch_of(arrow(SCORED), b.column(0), b.column(1), s, (s >= threshold).astype(np.int32))
 
     return run
@@ -274,17 +289,20 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
-    model = fit_on(docs, labels.filter(fold_of(F.col("doc_id"), 5) != 0))
-    names = docs.columns
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns, whatever their names.
+
+    Null texts count as empty; an empty text is one empty line and judged as such. Repeated rows are judged alike, rows
+    with null ids by their text. Without labels every score is 0.5, so every row stays.
+    """
+    model = fit_on(docs, labels.filter(fold_of(F.col("doc_id"), 5) != 0), id_col=id_col, text_col=text_col)
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for b in batches:
             buf, off = texts_of(b.column(at))
-            for i, j in slices(off):
+            for i, j in slices(off, _SLICE):
                 s = scores(model, buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield b.slice(i, j - i).filter(pa.array(s >= 0.3))
+                yield b.slice(i, j - i).filter(pa.array(s >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ def _give_back() -> None:
 
 _give_back()
 
-#: Texts are handled in slices of about this many bytes; a single longer text is a slice of its own.
-CHUNK_BYTES = 2 << 20
+#: Texts are handled in slices of about this many bytes, so that the arrays over their bytes stay in the cache; a single longer text is a slice of its own.
+CHUNK_BYTES = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("helixframe.shared.dir", None)
         if not path:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="helixframe-")
             spark.conf.set("helixframe.shared.dir", path)
     return path.rstrip("/")
@@ -56,6 +59,41 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SPLITS = "spark.sql.files.minPartitionNum"
+_REPLAYED = {"LogicalRelation", "Project", "Filter", "SubqueryAlias", "Union"}
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df``, or a written copy of it, as rows that are the same and in the same tasks in every scan.
+
+    Operators number rows by ``monotonically_increasing_id`` in several branches of a plan, so the numbers must not
+    depend on how a branch is planned. A scan of files with deterministic projections and filters is taken as it is, and
+    the number of its splits, which else follows the executors at hand, is fixed for the session. All others (joins,
+    aggregates, repartitions, Python functions) are written once to the shared folder and scanned from there.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_SPLITS, None) is None:
+        spark.conf.set(_SPLITS, str(spark.sparkContext.defaultParallelism))
+    return df if _is_scan(df._jdf.queryExecution().analyzed()) else stored(df)
+
+
+def _is_scan(plan) -> bool:
+    """Whether a logical plan reads files and does nothing that could move a row to another task."""
+    below = plan.children()
+    below = [below.apply(k) for k in range(below.size())]
+    name = plan.nodeName().split(" ")[0]
+    return (name in _REPLAYED or name.startswith("Relation")) and plan.deterministic() and all(map(_is_scan, below))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first ``name_2``, ``name_3``, .. that no column of ``df`` has."""
+    taken, out, k = {c.lower() for c in df.columns}, name, 1
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -101,6 +139,7 @@ _MASK = (1 << 64) - 1
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_RADIX, -1, 1 << 64)
 _powers: list[np.ndarray] = []
+_STEP, _STEP_BACK = pow(_RADIX, 1 << 15, 1 << 64), pow(_INVERSE, 1 << 15, 1 << 64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,45 +162,121 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-#: A random 64-bit value for each byte; the same in every process.
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LOWER_NP = np.frombuffer(LOWER, np.uint8)
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+NONSPACE = bytes(int(not x) for x in SPACES)
+
+
+def through(buf: np.ndarray, table: bytes) -> np.ndarray:
+    """Each byte's entry in a table of 256."""
+    return np.frombuffer(buf.tobytes().translate(table), np.uint8)
+
+
+def holds(buf: np.ndarray, table: bytes) -> np.ndarray:
+    """Where the bytes' entries in a table of 0 and 1 are 1."""
+    return through(buf, table).view(np.bool_)
+
+
+def _two_bytes() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point below U+0800: whether it is a capital, and its lower case (where that has two bytes as well)."""
+    upper, lower = np.zeros(2048, bool), np.arange(2048)
+    for c in range(128, 2048):
+        low = chr(c).lower()
+        upper[c] = chr(c).isupper()
+        if len(low) == 1 and 128 <= ord(low) < 2048:
+            lower[c] = ord(low)
+    return upper, lower
+
+
+_UPPER, _LOWERED = _two_bytes()
+
+
+def folded_case(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes in lower case, and the first bytes of capitals; characters of one or two bytes (Latin, Greek, Cyrillic, ..)."""
+    low, capital = through(buf, LOWER), (buf >= 65) & (buf <= 90)
+    at = np.flatnonzero((buf >= 0xC2) & (buf < 0xE0))
+    at = at[at + 1 < len(buf)]
+    if len(at):
+        code = ((buf[at] & 31).astype(np.int64) << 6) | (buf[at + 1] & 63)
+        capital[at[_UPPER[code]]] = True
+        change = _LOWERED[code] != code
+        at, code = at[change], _LOWERED[code[change]]
+        if len(at):
+            low = low.copy()
+            low[at], low[at + 1] = 0xC0 | (code >> 6), 0x80 | (code & 63)
+    return low, capital
+
+
 def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each maximal run of True that doesn't cross a text's border."""
     n = len(inside)
     if not n:
         e = np.zeros(0, np.int64)
         return e, e, e
-    first = np.zeros(n + 1, bool)
-    first[off[:-1]] = True  # an empty last text marks position n, which is cut off below
-    first = first[:n]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | first))
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:] & ~first[1:]
-    ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(off, starts, side="right") - 1
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    inner = off[(off > 0) & (off < n)]
+    inner = np.unique(inner[inside[inner] & inside[inner - 1]])
+    starts = np.concatenate([[0] if inside[0] else [], starts, inner]).astype(np.int64)
+    ends = np.concatenate([ends, inner, [n] if inside[-1] else []]).astype(np.int64)
+    if len(inner):
+        starts.sort()
+        ends.sort()
+    # Texts by the number of runs that begin in them: texts are fewer than runs.
+    return starts, ends, np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(starts, off)))
+
+
+_BLOCK = 1 << 15
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, by differences of one running sum."""
+    """A 64-bit hash of the bytes of each span, by differences of one running sum; starts and ends ascend.
+
+    The sum runs in blocks that stay in the cache, so memory doesn't grow with the texts beyond what the spans need.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(buf))
+    up, down = powers(_BLOCK)
+    n = len(buf)
+    lower, upper = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    edges = np.arange(0, n + _BLOCK, _BLOCK)
+    first, last = np.searchsorted(starts, edges), np.searchsorted(ends, edges, side="right")
+    last[0] = 0
+    shift, carry = 1, np.uint64(0)
+    sums = np.empty(_BLOCK + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k, a in enumerate(range(0, n, _BLOCK)):
+            x = buf[a : a + _BLOCK].astype(np.uint64)
+            m = len(x)
+            x += np.uint64(1)
+            x *= up[:m]
+            x *= np.uint64(shift)
+            x[0] += carry
+            sums[0] = carry
+            np.cumsum(x, out=sums[1 : m + 1])
+            s, e = slice(first[k], first[k + 1]), slice(last[k], last[k + 1])
+            at = starts[s] - a
+            lower[s] = sums[at]
+            upper[e] = sums[ends[e] - a]
+
+            carry = sums[m]
+            shift = shift * _STEP & _MASK
+        lower[first[-1] :] = carry  # empty spans at the very end
+        upper[: np.searchsorted(ends, 0, side="right")] = 0  # empty spans at the very beginning
+        scale = down[starts % _BLOCK] * _block_scales(n // _BLOCK + 1)[starts // _BLOCK]
+        return mix((upper - lower) * scale + (ends - starts).astype(np.uint64))
+
+
+def _block_scales(count: int) -> np.ndarray:
+    """Powers of the inverse radix at the blocks' beginnings."""
     with np.errstate(over="ignore"):
-        total = np.empty(len(buf) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(BYTE_VALUES[buf] * up[: len(buf)], dtype=np.uint64, out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        x = np.full(count, _STEP_BACK, np.uint64)
+        x[0] = 1
+        return np.multiply.accumulate(x)
 
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:

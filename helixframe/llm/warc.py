@@ -1,8 +1,9 @@
 """A content-addressed WARC archive (operator 5).
 
-Two tables: ``payloads`` holds the bytes of each different payload once, addressed by SHA-256 (equal digests are
-verified by comparing complete bytes, see :mod:`.grace`); ``records`` holds the exact header bytes of each record.
-Original records are reconstructed by joining them on the number of the stored payload.
+Two tables: ``payloads`` holds the bytes of each different payload once, compressed and addressed by SHA-256 (equal
+digests are verified by comparing complete bytes, see :mod:`.grace`); ``records`` holds the exact header bytes of each
+record. Original records are reconstructed by joining them on the number of the stored payload, and what is read back
+is parsed from these records.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grace import decided, folded
-from .shared import arrow, batch_of, remove, shared_dir, table
+from .shared import arrow, batch_of, numbered, remove, shared_dir, table
 
-DIGESTS = "stored long, sha256 binary, payload_digest string, payload_bytes long"
+DIGESTS = "stored long, payload_digest string"
+RECORDS = "rid long, stored long, page_id long, url string, record_type string, refers_to long, said string, payload_digest string, payload_bytes long"
 _DATE = "1970-01-01T00:00:00Z"
 
 
@@ -40,31 +42,47 @@ def record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ([F.lit("-")] if a > 1 else []) + [F.substring(h, a, n)]], F.lit(">"))
 
 
-def _stored_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack(payload: bytes) -> bytes:
+    return pa.compress(payload, codec="zstd", asbytes=True) if payload else b""
+
+
+def unpack(packed: bytes | None, size: int) -> bytes:
+    return pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True) if packed else b""
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of stored payloads (number, SHA-256, packed bytes, size) the digests that headers name."""
     schema = arrow(DIGESTS)
     for b in batches:
-        payloads = [p or b"" for p in b.column(2).to_pylist()]
-        for p, d in zip(payloads, b.column(1).to_pylist()):
-            if hashlib.sha256(p).digest() != d:
-                raise ValueError("a stored payload doesn't have the digest that addresses it")
-        yield batch_of(schema, b.column(0), b.column(1), [base32_sha1(p) for p in payloads], [len(p) for p in payloads])
+        for k in range(0, b.num_rows, 256):
+            part = b.slice(k, 256)
+            sizes = part.column(3).to_pylist()
+            payloads = [unpack(p, n) for p, n in zip(part.column(2).to_pylist(), sizes)]
+            for p, d in zip(payloads, part.column(1).to_pylist()):
+                if hashlib.sha256(p).digest() != d:
+                    raise ValueError("a stored payload doesn't have the digest that addresses it")
+            yield batch_of(schema, part.column(0), [base32_sha1(p) for p in payloads])
 
 
 def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, fold_bytes: int = 24 << 20, table_bytes: int = 64 << 20) -> Archive:
     """One WARC record for each row of ``pages``, as the tables ``path/payloads`` and ``path/records``.
 
-    Null payloads count as empty. Of records with equal payloads of at least ``min_bytes``, that with the largest id
+    Null payloads count as empty, extra columns are ignored, and an empty table gives an empty archive. Of records with equal payloads of at least ``min_bytes``, that with the largest id
     (null ids last) is a response and the others are revisits of it; all smaller ones are responses. A null url has
     no WARC-Target-URI line; line ends in a url become %0D and %0A. A null id makes a record without Page-Id.
     """
-    keep = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("content"))
+    pages = numbered(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("content")))
+    keep = pages.select(F.monotonically_increasing_id().alias("rid"), "id", "url", "content")
     local = folded(keep.select("rid", "id", "content"), lower=False, fold_bytes=fold_bytes)
     at = Archive(f"{path}/payloads", f"{path}/records")
-    decided(local, table_bytes=table_bytes, payloads=True).write.parquet(at.payloads)
     # The store's rows: one for each record that a task passed on; `payload` only on that which stays.
-    groups = pages.sparkSession.read.parquet(at.payloads).select(F.col("rid").alias("rep"), F.col("keep_rid").alias("stored"), "keep_id")
-    digests = payload_digests(pages.sparkSession, at)
-    rows = local.select("rid", "id", "rep", "n_bytes").join(groups, "rep").join(keep.select("rid", "url"), "rid").join(digests.select("stored", "payload_digest"), "stored")
+    decided(local, table_bytes=table_bytes, payload=pack).write.parquet(at.payloads)
+    payloads = pages.sparkSession.read.parquet(at.payloads)
+    digests = payloads.filter("rid = keep_rid").select("rid", "digest", "payload", "n_bytes").mapInArrow(_digests, DIGESTS)
+    # Joined with the store's rows, one for each record that a task passed on, before these meet all rows: no key of the
+    # second join has more rows than a task folded into one.
+    groups = payloads.select(F.col("rid").alias("rep"), F.col("keep_rid").alias("stored"), "keep_id").join(digests, "stored")
+    rows = local.select("rid", "id", "rep", "n_bytes").join(groups, "rep").join(keep.select("rid", "url"), "rid")
     revisit = (F.col("rid") != F.col("stored")) & (F.col("n_bytes") >= min_bytes)
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     only = lambda column: F.when(revisit, column)
@@ -83,40 +101,73 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
         line("Content-Length", F.when(revisit, "0").otherwise(F.col("n_bytes").cast("string"))),
         F.lit("\r\n"),
     )
-    rows.select(header.cast("binary").alias("header"), "stored").write.parquet(at.records)
+    rows.select("rid", header.cast("binary").alias("header"), "stored", revisit.alias("revisit")).write.parquet(at.records)
     return at
 
 
-def payload_digests(spark: SparkSession, at: Archive) -> DataFrame:
-    """Number, digests and size of each stored payload, all computed from its bytes; fails if one isn't what its address says."""
-    return spark.read.parquet(at.payloads).filter("rid = keep_rid").select("rid", "digest", "payload").mapInArrow(_stored_digests, DIGESTS)
+def reconstruct(spark: SparkSession, at: Archive) -> DataFrame:
+    """``rid, stored, record``: each complete original record (header, payload of a response, two line ends).
 
+    A revisit has an empty block. Null payloads were stored as empty ones. An empty archive gives no records.
+    """
+    payloads = spark.read.parquet(at.payloads).filter("rid = keep_rid").select(F.col("rid").alias("stored"), "payload", "n_bytes")
+    records = spark.read.parquet(at.records)
+    # Revisits need no payload, so a payload that many records share isn't sent to each of them.
+    whole = records.filter("not revisit").join(payloads, "stored").select("rid", "stored", "header", "payload", "n_bytes")
+    both = whole.unionByName(records.filter("revisit").select("rid", "stored", "header", F.lit(None).cast("binary").alias("payload"), F.lit(0).cast("long").alias("n_bytes")))
+    return both.mapInArrow(_records, "rid long, stored long, record binary")
 
-def read_records(spark: SparkSession, at: Archive) -> DataFrame:
-    """A row for each record, parsed from its header and checked against the stored payload."""
-    text = F.col("header").cast("string")
-    field = lambda name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
-    parsed = spark.read.parquet(at.records).select(
-        "stored", field("Page-Id").cast("long").alias("page_id"), field("WARC-Type").alias("record_type"), field("Refers-To-Page-Id").cast("long").alias("refers_to"),
-        field("WARC-Target-URI").alias("url"), F.substring(field("WARC-Payload-Digest"), 6, 32).alias("said"),
-    )
-    # Small columns alone: the digests of the stored payloads are computed from their bytes before the join.
-    joined = parsed.join(payload_digests(spark, at), "stored")
-    same = F.when(F.col("said") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's payload digest isn't that of the stored payload")))
-    return joined.select("page_id", "url", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            part = b.slice(k, 256)
+            headers, packed, sizes = (part.column(c).to_pylist() for c in (2, 3, 4))
+            yield batch_of(arrow("rid long, stored long, record binary"), part.column(0), part.column(1), [h + unpack(p, n) + b"\r\n\r\n" for h, p, n in zip(headers, packed, sizes)])
 
-def reconstruct(spark: SparkSession, at: Archive) -> DataFrame:
-    """``page_id, record``: the complete original record (header, payload of a response, two line ends)."""
-    text = F.col("header").cast("string")
-    payloads = spark.read.parquet(at.payloads).filter("rid = keep_rid").select(F.col("rid").alias("stored"), "payload")
-    empty = F.lit("").cast("binary")
-    records = spark.read.parquet(at.records).withColumn("revisit", F.contains(text, F.lit("\r\nWARC-Type: revisit\r\n")))
-    # Revisits need no payload, so a payload that many records share isn't sent to each of them.
-    whole = records.filter("not revisit").join(payloads, "stored").select("header", F.coalesce("payload", empty).alias("body"))
-    both = whole.unionByName(records.filter("revisit").select("header", empty.alias("body")))
-    page = F.nullif(F.regexp_extract(text, r"\r\nPage-Id: ([^\r]*)\r\n", 1), F.lit("")).cast("long")
-    return both.select(page.alias("page_id"), F.concat("header", "body", F.lit("\r\n\r\n").cast("binary")).alias("record"))
+
+def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+    """A record's header fields and block; an error if its length isn't what it says."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    lines = head.decode().split("\r\n")
+    fields = dict(x.split(": ", 1) for x in lines[1:])
+    size = int(fields["Content-Length"])
+    if lines[0] != "WARC/1.1" or rest[size:] != b"\r\n\r\n":
+        raise ValueError("a record isn't as long as its header says")
+    return fields, rest[:size]
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = lambda x: None if x is None else int(x)
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            part = b.slice(k, 256)
+            out = []
+            for record in part.column(2).to_pylist():
+                f, block = parse(record)
+                said, response = f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"] == "response"
+                if response and base32_sha1(block) != said:
+                    raise ValueError("a header's payload digest isn't that of the record's block")
+                own = (said, len(block)) if response else (None, None)
+                out.append((number(f.get("Page-Id")), f.get("WARC-Target-URI"), f["WARC-Type"], number(f.get("Refers-To-Page-Id")), said, *own))
+            yield batch_of(arrow(RECORDS), part.column(0), part.column(1), *(list(c) for c in zip(*out)))
+
+
+def read_records(spark: SparkSession, at: Archive) -> DataFrame:
+    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` for each record, parsed from its reconstructed bytes.
+
+    A response's digest and size are those of its block; a revisit's are those of the response that holds its payload, and
+    must be the digest that its own header names. A record without Page-Id has a null id, one without a url a null url.
+    """
+    records = reconstruct(spark, at).mapInArrow(_parsed, RECORDS)
+    told = records.filter("record_type = 'response'").groupBy("stored").agg(F.first("payload_digest").alias("payload_digest"), F.first("payload_bytes").alias("payload_bytes"))
+    visits = records.filter("record_type = 'revisit'").drop("payload_digest", "payload_bytes").withColumn("part", F.shiftright("rid", 16))
+    # Revisits that share a payload may be a third of all rows: each run of row numbers fetches its answers once.
+    answers = visits.select("stored", "part").distinct().join(told, "stored")
+    visits = visits.join(answers, ["stored", "part"]).drop("part")
+    same = F.when(F.col("said") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a revisit's payload digest isn't that of its response")))
+    both = records.filter("record_type = 'response'").unionByName(visits.select(*records.columns))
+    return both.select("page_id", "url", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")
 
 
 def export_files(spark: SparkSession, at: Archive, write: Callable[[int, Iterator[bytes]], None]) -> None:

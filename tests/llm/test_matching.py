@@ -23,6 +23,8 @@ ITEMS = [
     (2, None),
     (3, ""),
     (4, "11 22 33 44 55 66 77 88 99"),
+    (5, "Alice buys 3 pens."),
+    (6, "thirty two people went from Paris to the next town by train"),
 ]
 
 
@@ -37,7 +39,11 @@ CASES = [
     (12, "Intro. If Maria buys 40 apples and gives 7 apples to her friend Peter, then Klara walks 9 km home, how many apples are left over?", False),  # one name, two people
     (13, "If somebody buys apples and goes home there is nothing to see.", False),
     (14, "A short question here", True),
-    (15, "11 22 33 44 55 66 77 88 99", False),  # no literals, no template
+    (15, "See 11 22 33 44 55 66 77 88 99", True),  # no literals, no template: verbatim
+    (19, "See 12 23 34 45 56 67 78 89 91", False),
+    (20, "MARY said: Mary buys 8 pens. Then some more.", True),  # a name begins the sentence
+    (21, "So forty one people went from New York to the next town by train.", True),  # number words, names of two words
+    (22, "So forty one people went from New York to the next village by bus and stayed there.", False),
     (16, None, False),
     (17, "", False),
     (18, "if anna BUYS", False),
@@ -64,26 +70,30 @@ def test_no_benchmark_no_documents(spark, benchmark):
 
 def brute_template(text):
     """The rules of canonical(), token by token."""
-    out, end, before = [], 0, None
+    found, end = [], None
     for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+", text):
-        token, gap = m.group(), text[end : m.start()]
-        begins = before is None or any(c in '.!?:;\n\r"' for c in gap)
+        token, near = m.group(), end is not None and text[end : m.start()] in (" ", "-")
         if token[0].isdigit():
             kind = "number"
-        elif len(token.encode()) > 1 and token[0].isupper() and not (len(token) > 1 and "A" <= token[1] <= "Z") and not begins:
+        elif token.lower() in decontaminate.NUMBERS:
+            kind = "spelled"
+        elif len(token.encode()) > 1 and token[0].isupper() and not (len(token) > 1 and token[1].isupper()) and token.lower() not in decontaminate.COMMON:
             kind = "name"
-        elif before == "number" and token.lower() in decontaminate.UNITS:
-            kind = "unit"
         else:
             kind = token.lower()
-        out.append(kind)
-        before, end = kind, m.end()
+        if not (found and near and kind == found[-1] and kind in ("name", "spelled")):
+            found.append(kind)
+        end = m.end()
+    out = []
+    for kind in found:
+        kind = "number" if kind == "spelled" else kind
+        out.append("unit" if out and out[-1] == "number" and kind in decontaminate.UNITS else kind)
     return out
 
 
 def test_templates_match_brute_force():
-    words = ["The", "tree", "Anna", "km", "KM", "12", "3.5", "1,000", "é", "École", "ÜBER", "x", "Ähre", "percent", "I"]
-    gaps = [" ", ", ", ". ", "! ", "\n", " - ", "; ", " (", "5", ""]
+    words = ["The", "tree", "Anna", "km", "KM", "12", "3.5", "1,000", "é", "École", "ÜBER", "x", "Ähre", "percent", "I", "two", "Thirty", "zwölf", "Москва", "МИР", "город", "Ωμέγα", "Łódź", "Ő", "中文"]
+    gaps = [" ", " ", "-", ", ", ". ", "! ", "\n", " - ", "; ", " (", "5", ""]
     rng = random.Random(5)
     texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(0, 40))) for _ in range(60)]
     t = decontaminate.canonical(*flat(texts))
@@ -94,6 +104,49 @@ def test_templates_match_brute_force():
         assert [names.get(int(h), h) if isinstance(names.get(int(h), h), str) else int(h) for h in got] == [w if w in names.values() else int(decontaminate._word_hash(w)) for w in want], text
 
 
+def brute_leaks(docs, items, width, coverage):
+    """Window join and slot consistency by plain loops over one document and one item at a time."""
+
+    def tokens(text):
+        t = decontaminate.canonical(*flat([text]))
+        return [(int(a), int(v), bool(s)) for a, v, s in zip(t.tokens, t.values, t.slot)]
+
+    def key(window):
+        rich = 2 * sum(s for _, _, s in window) > len(window)
+        return None if rich and len(window) < 3 else (rich, tuple(v if rich else a for a, v, _ in window))
+
+    found = set()
+    for k, text in enumerate(docs):
+        d = tokens(text)
+        for i, item in enumerate(items):
+            t = tokens(item)
+            w = min(width, len(t))
+            starts = [a for a in range(len(t) - w + 1) if w and key(t[a : a + w]) is not None]
+            pairs = [(a, b) for a in starts for b in range(len(d) - w + 1) if key(d[b : b + w]) == key(t[a : a + w])]
+            if not starts or len({a for a, _ in pairs}) < coverage * len(starts):
+                continue
+            shifts = {}
+            for a, b in pairs:
+                for (_, v, slot), (_, x, _) in zip(t[a : a + w], d[b : b + w]):
+                    if slot:
+                        shifts.setdefault(b - a, {}).setdefault(v, set()).add(x)
+            if not shifts or any(all(len(x) == 1 for x in m.values()) for m in shifts.values()):
+                found.add((k, i))
+    return found
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 2])
+def test_window_join_and_slots_match_brute_force(spark, bound):
+    rng = random.Random(8)
+    words = ["the", "a", "cat", "runs", "Anna", "Bob", "Carol", "3", "5", "seven", "km", "home", "with"]
+    items = [" ".join(rng.choice(words) for _ in range(rng.choice([2, 3, 6, 9]))) for _ in range(12)]
+    swap = lambda t: " ".join(rng.choice([w, w, w, {"Anna": "Dora", "3": "9", "Bob": "Carol", "5": "seven"}.get(w, w)]) for w in t.split())
+    docs = [". ".join([" ".join(rng.choice(words) for _ in range(8)), swap(rng.choice(items)), swap(rng.choice(items))]) for _ in range(40)]
+    got = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), width=5, broadcast_windows=bound)
+    want = brute_leaks(docs, items, 5, 0.5)
+    assert want and {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_planted_passages_are_all_found(spark, medium):
     got = {r.doc_id for r in decontaminate.op3_template_decontamination(spark, medium).collect()}
     items = [r.text for r in spark.read.parquet(f"{medium}/benchmark.parquet").collect()]

@@ -95,6 +95,26 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+def test_the_sample_has_a_bound_on_lines(spark):
+    """Long documents are passed over once the lines are used up; repeated ids and texts are one."""
+    docs = spark.createDataFrame([(k, "good line of text\n" * (200 if k % 4 == 0 else 3)) for k in range(40)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    taken = []
+    fit = quality.fit
+
+    def spy(doc, x, label, **kw):
+        taken.append((len(set(doc.tolist())), len(doc)))
+        return fit(doc, x, label, **kw)
+
+    quality.fit = spy
+    try:
+        quality.fit_on(docs, labels, lines=150)
+        quality.fit_on(docs, labels)
+    finally:
+        quality.fit = fit
+    assert taken[0] == (30, 90) and taken[1] == (40, 90 + 10 * 200)
+
+
 # Suffix tree
 
 
@@ -212,9 +232,13 @@ def test_weights_do_not_depend_on_the_share(spark, tokens):
         levels.append([{k: n for k, n in x.items() if n >= least} for x, least in ((c, suffix_tree.CONTEXT_COUNT), (j, suffix_tree.ENTRY_COUNT))])
     arrays = [[(packed(x), np.array(list(x.values()))) for x in level] for level in levels]
     tree = suffix_tree.build([a for a, _ in arrays], [b for _, b in arrays], root, penalty=suffix_tree.PENALTY * math.log(tokens) / math.log(30_000))
-    none = np.zeros(0, np.int64)
-    table = spark.createDataFrame([(int(k), n) for k, n in zip(packed(grams), grams.values())], "gram long, n long")
-    rows = suffix_tree._weights(table, suffix_tree.Lexicon(none, none, none, 0, tokens, 30, root)).toPandas()
+    pairs, count = Counter(), np.zeros(suffix_tree._SYMBOLS, np.int64)
+    for g, n in grams.items():
+        pairs[g[1:]] += n
+        count[g[1]] += n
+    table = [(int(k), n) for k, n in zip(packed(grams), grams.values())] + [(int(k) | suffix_tree._PAIR, n) for k, n in zip(packed(pairs), pairs.values())]
+    table = spark.createDataFrame([(k, n) for k, n in table if n >= suffix_tree.ENTRY_COUNT], "gram long, n long")
+    rows = suffix_tree._weights(table, tokens, root, count).toPandas()
     assert rows.key.is_unique and (rows.n < 1e-6 * tokens).any() == (tokens == 10**9)
     weights = suffix_tree.Table(rows.key.to_numpy(np.int64).view(np.uint64), rows.value.to_numpy())
     g = packed(grams)
@@ -223,7 +247,8 @@ def test_weights_do_not_depend_on_the_share(spark, tokens):
     assert np.allclose(sum(weights.find(k)[1] for k in suffix_tree.keys_of(g)), want, atol=1e-4)
 
 
-def test_scores_are_the_same_wherever_weights_are_looked_up(spark, monkeypatch):
+def test_scores_are_the_same_in_parts_of_any_size(spark, monkeypatch):
+    """One part or hundreds, frequent symbols split or not, many flushes of a task or one."""
     rng = np.random.default_rng(6)
     texts = []
     for _ in range(300):
@@ -233,12 +258,32 @@ def test_scores_are_the_same_wherever_weights_are_looked_up(spark, monkeypatch):
             words.append(f"w{at}")
         texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    near = {r.doc_id: r for r in suffix_tree.lm_scores(docs).collect()}
-    assert all(r.score > r.base_score for r in near.values())
-    for most in (0, 200):
-        monkeypatch.setattr(suffix_tree, "NEAR", most)
-        rows = suffix_tree.lm_scores(docs).collect()
-        assert len(rows) == len(near) and all(np.isclose(r.score, near[r.doc_id].score, atol=1e-3) for r in rows)
+    whole = {r.doc_id: r for r in suffix_tree.lm_scores(docs).collect()}
+    assert all(r.score > r.base_score for r in whole.values())
+    for size in (20_000, 300):
+        monkeypatch.setattr(suffix_tree, "_HELD", 4_000)
+        rows = suffix_tree.lm_scores(docs, part_tokens=size).collect()
+        assert len(rows) == len(whole) and all(np.isclose(r.score, whole[r.doc_id].score, atol=1e-3) for r in rows)
+
+
+def test_routes_send_a_token_to_all_its_weights():
+    rng = np.random.default_rng(9)
+    count = np.zeros(suffix_tree._SYMBOLS, np.int64)
+    count[:50] = [5000, 0, *rng.integers(1, 40, 48)]
+    count[7] = 3000
+    routes = suffix_tree.Routes.of(count, 20)
+    assert routes.hot.tolist() == [0, 7] and routes.splits[0] > 5 and routes.splits[1] > 3
+    symbols = rng.choice([0, 2, 7, 8, 9], (500, 3)).astype(np.uint64)
+    grams = (symbols[:, 0] << np.uint64(40)) | (symbols[:, 1] << np.uint64(20)) | symbols[:, 2]
+    keys = np.unique(np.concatenate(suffix_tree.keys_of(grams)))
+    batch = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.ones(len(keys)))], names=["key", "value"])
+    there = {}
+    for b in suffix_tree._weights_by_part(routes)(iter([batch])):
+        for r in b.to_pylist():
+            there.setdefault(r["part"], set()).update(suffix_tree._unpack(r["a"], r["n"], np.uint64).tolist())
+    part = routes.part(symbols[:, 1].astype(np.int64), symbols[:, 2])
+    for p, *own in zip(part.tolist(), *suffix_tree.keys_of(grams)):
+        assert {int(k) for k in own} <= there[p]
 
 
 def test_lookup_table():
@@ -283,7 +328,7 @@ def test_scores_are_those_of_the_kernel_machine():
     train = ["the cat and the dog", "der hund und die katze", "le chat et le chien", "the house and the tree", "das haus und der baum", "la maison et le bois"]
     langs = ["en", "de", "fr"] * 2
     x = language.presence(*flat(train))
-    model = language.fit(x, langs, np.arange(3), ridge=0.1)
+    model = language.fit(np.packbits(x, axis=1), langs, np.arange(3), ridge=0.1)
     kernel = lambda a, b: (a.astype(int) @ b.astype(int).T) / np.sqrt(np.outer(a.sum(1), b.sum(1)))
     k_mm = kernel(x[:3], x[:3])
     values, vectors = np.linalg.eigh(k_mm)
@@ -314,6 +359,22 @@ def test_language_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in language.identify(odd, language.fit_on(none)).collect()} == {"und"}
 
 
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    """Twenty languages: the driver gets a bounded number of texts and landmarks, and every language is learned."""
+    monkeypatch.setattr(language, "MOST_SAMPLE", 400)
+    monkeypatch.setattr(language, "MOST_LANDMARKS", 60)
+    rng = np.random.default_rng(10)
+    words = {k: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(30)] for k in range(20)}
+    docs = spark.createDataFrame([(20 * n + k, " ".join(rng.choice(words[k], 12)), f"l{k:02d}") for k in range(20) for n in range(40)], "doc_id long, text string, lang string")
+    sizes = []
+    fit = language.fit
+    monkeypatch.setattr(language, "fit", lambda x, langs, marks, **kw: (sizes.append((len(x), len(marks))), fit(x, langs, marks, **kw))[1])
+    model = language.fit_on(docs.filter("doc_id % 7 <> 0"))
+    assert sizes == [(400, 60)] and len(model.langs) == 20
+    rows = language.identify(docs.filter("doc_id % 7 = 0"), model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id % 20:02d}" for r in rows) >= 0.95 * len(rows)
+
+
 @pytest.mark.parametrize("text,want", [("1 2 !", False), ("中", True), ("—«»", False), ("a", True), ("é", True)])
 def test_letters(text, want):
     col = pa.array([text])

@@ -47,6 +47,15 @@ def test_fast_encoder_equals_the_library(parts):
     assert packing.encoder(tokens.default_path())(text, simple).tolist() == ids_of(text)
 
 
+def test_fast_encoder_on_every_character_of_one_or_two_bytes():
+    """The faster encoder is used for texts below U+0800: all of these characters, in several surroundings."""
+    encode = packing.encoder(tokens.default_path())
+    for form in ("{}", "a{}", "{}a", " {}", "{} ", "1{}1", "A{}b {}", "{}\n", "'{}", "{}{}{}"):
+        texts = [form.replace("{}", chr(c)) for c in range(0x800)]
+        want = [e.ids for e in tokens.tokenizer(tokens.default_path()).encode_batch(texts, add_special_tokens=False)]
+        assert [encode(t, True).tolist() for t in texts] == want
+
+
 def check_packing(rows, texts, capacity):
     by_doc = {}
     for r in rows:
