@@ -1,7 +1,12 @@
-"""CIGAR strings as Columns."""
+"""CIGAR strings as Columns, and as aligned bases."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +38,54 @@ def stats(df: DataFrame, cigar: str) -> DataFrame:
     return d.withColumns({"query_length": length_of(o, "MIS=X"), "ref_length": length_of(o, "MDN=X"), "aligned": length_of(o, "M=X"), "identity": F.when(total > 0, match / total).otherwise(0.0)}).drop("_ops")
 
 
-def walk(df: DataFrame, keys: list[str], cigar: str, start: str) -> DataFrame:
-    """(keys, ref_pos, read_pos) of each aligned base: the operations' offsets by running sums, then the bases."""
-    moves = F.transform(operations(F.col(cigar)), lambda x: F.struct(x["op"].alias("op"), x["len"].alias("len"), F.when(F.instr(F.lit("MIS=X"), x["op"]) > 0, x["len"]).otherwise(0).alias("dq"), F.when(F.instr(F.lit("MDN=X"), x["op"]) > 0, x["len"]).otherwise(0).alias("dr")))
-    d = df.select(*keys, F.col(start).alias("_s"), moves.alias("_m")).select(*keys, "_s", F.col("_m"), F.posexplode("_m").alias("_i", "_op"))
-    before = lambda f: F.aggregate(F.slice("_m", F.lit(1), F.col("_i")), F.lit(0).cast("long"), lambda acc, x: acc + x[f])
-    at = d.withColumn("_q", before("dq")).withColumn("_r", F.col("_s") + before("dr")).filter(F.col("_op.op").isin("M", "=", "X") & (F.col("_op.len") > 0))
-    return at.select(*keys, "_q", "_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_op.len") - 1)).alias("_k")).select(*keys, (F.col("_r") + F.col("_k")).alias("ref_pos"), (F.col("_q") + F.col("_k")).alias("read_pos"))
+_OPS = "MIDNSHP=X"
+_QUERY, _REF, _BASE = (np.array([o in kinds for o in _OPS]) for kinds in ("MIS=X", "MDN=X", "M=X"))
+_CODE = np.full(256, 255, np.uint8)
+_CODE[[ord(o) for o in _OPS]] = np.arange(len(_OPS))
+
+
+def parsed(cigars: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, length and operation number of all operations; ``*`` and anything malformed have none."""
+    cigars = [c if re.fullmatch(rb"([0-9]{1,15}[MIDNSHP=X])+", c) else b"" for c in cigars]
+    text = np.frombuffer(b"".join(cigars), np.uint8)
+    op = _CODE[text]
+    ends = np.flatnonzero(op < 255)
+    starts = np.append(0, ends[:-1] + 1) if len(ends) else ends
+    place = np.repeat(ends, ends - starts + 1) - np.arange(len(text)) - 1  # digits right of this one
+    worth = np.where(place >= 0, (text.astype(np.int64) - 48) * 10 ** np.maximum(place, 0), 0)
+    length = np.add.reduceat(worth, starts) if len(ends) else np.zeros(0, np.int64)
+    row = np.searchsorted(np.cumsum([len(c) for c in cigars]), ends, side="right")
+    return row, length, op[ends]
+
+
+def walk(df: DataFrame, keys: list[str], cigar: str, start: str, *, most: int = 1 << 20) -> DataFrame:
+    """(keys, ref_pos, read_pos) of each aligned base.
+
+    An Arrow kernel: the operations' offsets are running sums over all rows of a batch, so the work is linear in a
+    CIGAR's length; about ``most`` bases leave it at a time.
+    """
+    names = [*keys, "ref_pos", "read_pos"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", ref_pos long, read_pos long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, n, op = parsed([(c or "").encode() for c in b.column(len(keys)).to_pylist()])
+            if not len(row):
+                continue
+            first = b.column(len(keys) + 1).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            new = np.append(True, row[1:] != row[:-1])
+            at = []
+            for moves in (np.where(_REF[op], n, 0), np.where(_QUERY[op], n, 0)):
+                before = np.cumsum(moves) - moves
+                at.append(before - np.maximum.accumulate(np.where(new, before, 0)))
+            own = np.flatnonzero(_BASE[op] & (n > 0))
+            total = np.cumsum(n[own])
+            for a in range(0, int(total[-1]) if len(own) else 0, most):
+                k = np.arange(a, min(a + most, int(total[-1])))
+                i = np.searchsorted(total, k, side="right")
+                step = k - (total[i] - n[own[i]])
+                o = own[i]
+                columns = [c.take(pa.array(row[o])) for c in b.columns[: len(keys)]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(first[row[o]] + at[0][o] + step), pa.array(at[1][o] + step)], names=names)
+
+    return df.select(*keys, cigar, F.col(start).cast("long")).mapInArrow(run, schema)

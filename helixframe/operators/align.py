@@ -95,3 +95,16 @@ def alignment_stats(aligned: DataFrame, reads: DataFrame) -> DataFrame:
     p = aligned.filter("is_primary")
     s = p.agg(F.count("*").alias("aligned_reads"), F.avg("identity").alias("mean_identity"), F.avg("mapq").alias("mean_mapq"))
     return s.join(F.broadcast(reads.agg(F.count("*").alias("reads")))).withColumn("mapping_rate", ratio("aligned_reads", "reads"))
+
+
+def stage_counts(found: DataFrame, chains: DataFrame, aligned: DataFrame, *, min_identity: float = 0.8, min_bases: int = 50) -> DataFrame:
+    """One row: hits, chains, extensions, and what the identity and length filters leave out."""
+    h, c = found.agg(F.count("*").alias("n_hits")), chains.agg(F.count("*").alias("n_chains"))
+    low, short = F.col("identity") < min_identity, F.col("aligned") < min_bases
+    e = aligned.agg(F.count("*").alias("n_extensions"), F.count_if(low).alias("n_low_identity"), F.count_if(~low & short).alias("n_too_short"))
+    return h.join(F.broadcast(c)).join(F.broadcast(e))  # one row each
+
+
+def nm_estimate(identity, aligned):
+    """Edit distance that identity and aligned bases imply, truncated."""
+    return ((1 - identity) * aligned).cast("int")

@@ -82,3 +82,10 @@ def parameters_at(points: DataFrame, intervals: DataFrame, *, on: str = "ref_id"
 def overlay(df: DataFrame, over: list[str], under: list[str], out: list[str]) -> DataFrame:
     """The upper list's parameters, where set, over the lower's."""
     return df.withColumns({o: F.coalesce(a, b) for a, b, o in zip(over, under, out)})
+
+
+def overlay(regions: DataFrame, rules: DataFrame, hints: DataFrame) -> DataFrame:
+    """(region, source, weight): what a rule says of a region, else the hint of its own file, else weight 1 from nowhere."""
+    r, h = rules.select("region", F.col("weight").alias("_r")), hints.select("region", F.col("weight").alias("_h"))
+    j = regions.select("region").join(r, "region", "left").join(h, "region", "left")
+    return j.select("region", F.when(F.col("_r").isNotNull(), "rule").when(F.col("_h").isNotNull(), "hint").alias("source"), F.coalesce("_r", "_h", F.lit(1.0)).alias("weight"))

@@ -27,8 +27,34 @@ def cosine(a, b):
     return dot / (size(a) * size(b))
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, *, block: int = 2048) -> DataFrame:
-    """(src, dst, similarity): the ``k`` rows of ``base`` with the largest cosine for each stated query, itself left out.
+METRICS = ("cosine", "inner", "l2")
+
+
+def likeness(u: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Cosine, inner product or negative squared distance of all rows of both matrices: larger is nearer."""
+    if metric == "cosine":
+        u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))
+    s = u @ v.T
+    return 2 * s - (u * u).sum(axis=1)[:, None] - (v * v).sum(axis=1)[None, :] if metric == "l2" else s
+
+
+def nearest(s: np.ndarray, left: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` largest values of each row, itself (an equal id) left out; ties go to the smaller id."""
+    s = np.where(left[:, None] == ids[None, :], -np.inf, s)
+    few = min(k, len(ids))
+    worst = np.partition(s, len(ids) - few, axis=1)[:, len(ids) - few]
+    rows, cols = np.nonzero((s >= worst[:, None]) & (s > -np.inf))
+    order = np.lexsort((ids[cols], -s[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, np.arange(len(left)))
+    keep = np.arange(len(rows)) - first[rows] < few
+    return rows[keep], cols[keep]
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int, *, block: int = 2048, metric: str = "cosine") -> DataFrame:
+    """(src, dst, similarity): the ``k`` rows of ``base`` nearest to each stated query, itself left out.
+
+    ``metric``: the cosine, the inner product, or l2 (the negative squared distance).
 
     Exact. Both sides (id, vector) are cut into blocks of about ``block`` rows; a task multiplies one block by one
     block and passes on ``k`` rows a query, so no pair leaves it that can't be among the nearest.
@@ -41,23 +67,9 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, block: int = 2048) -> Da
         if not len(left) or not len(right):
             return pd.DataFrame({"src": [], "dst": [], "similarity": []})
         u, v = (np.stack(df["vector"].to_numpy()).astype(np.float64) for df in (left, right))
-        u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))
-        ids = right["id"].to_numpy()
-        s = u @ v.T
-        s[left["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        few = min(k, len(ids))
-        top = np.argpartition(-s, few - 1, axis=1)[:, :few]
-        # Ties at the border go to the smaller id.
-        worst = np.take_along_axis(s, top, axis=1).min(axis=1)
-        out = []
-        for i in range(len(left)):
-            cand = np.flatnonzero(s[i] >= worst[i])
-            cand = cand[np.lexsort((ids[cand], -s[i, cand]))][:few]
-            out.append(cand[s[i, cand] > -np.inf])
-        size = [len(c) for c in out]
-        at = np.concatenate(out) if out else np.zeros(0, int)
-        rows = np.repeat(np.arange(len(left)), size)
-        return pd.DataFrame({"src": left["id"].to_numpy()[rows], "dst": ids[at], "similarity": s[rows, at]})
+        s, own, ids = likeness(u, v, metric), left["id"].to_numpy(), right["id"].to_numpy()
+        rows, cols = nearest(s, own, ids, k)
+        return pd.DataFrame({"src": own[rows], "dst": ids[cols], "similarity": s[rows, cols]})
 
     found = q.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(best, NEIGHBOURS)
     from .relational import top_k
@@ -94,15 +106,101 @@ def ivf_assign(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     return df.select("id", "vector").mapInPandas(run, "id long, vector array<double>, list long")
 
 
-def knn_ivf(queries: DataFrame, base: DataFrame, k: int, *, lists: int, probes: int) -> DataFrame:
-    """Approximate nearest neighbours by inverted lists: every base row is indexed, a query meets its nearest lists."""
+def residual_codebooks(base: DataFrame, centroids: np.ndarray, parts: int, *, codes: int = 16, sample: int = 20_000, rounds: int = 8, seed: int = 11) -> np.ndarray:
+    """Product quantiser of vectors less their list's centroid: (parts, codes, width), by k-means on the bounded sample."""
+    rows = base.select("id", "vector").orderBy(F.xxhash64("id")).limit(sample).toPandas()
+    x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    x = x - centroids[(x @ centroids.T).argmax(axis=1)]
+    rng, books = np.random.default_rng(seed), []
+    for part in np.split(x, parts, axis=1):
+        c = part[rng.choice(len(part), min(codes, len(part)), replace=False)].copy()
+        for _ in range(rounds):
+            own = likeness(part, c, "l2").argmax(axis=1)
+            for j in range(len(c)):
+                if (own == j).any():
+                    c[j] = part[own == j].mean(axis=0)
+        books.append(c)
+    return np.stack(books)
+
+
+def quantised(vectors: np.ndarray, centroids: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """What the product quantiser keeps of unit vectors."""
+    unit_ = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    own = (unit_ @ centroids.T).argmax(axis=1)
+    parts = np.split(unit_ - centroids[own], len(books), axis=1)
+    return centroids[own] + np.concatenate([c[likeness(p, c, "l2").argmax(axis=1)] for p, c in zip(parts, books)], axis=1)
+
+
+def knn_ivf(queries: DataFrame, base: DataFrame, k: int, *, lists: int, probes: int, part_rows: int = 4096, pq_parts: int = 0) -> DataFrame:
+    """Approximate nearest neighbours (cosine) by inverted lists: every base row is indexed, a query meets its nearest lists.
+
+    A long list is cut into parts of about ``part_rows`` rows, and a task multiplies the queries of a list by one part of
+    it, so an unbalanced list is no hot key. ``pq_parts``: the lists hold vectors as a product quantiser of so many parts
+    keeps them; the nearest 4 k by these are ranked again by the vectors themselves.
+    """
     from .relational import top_k
 
     c = ivf_centroids(base, lists)
-    b = ivf_assign(base.withColumn("vector", F.col("vector").cast("array<double>")), c, 1).select(F.col("id").alias("dst"), F.col("vector").alias("_b"), "list")
-    q = ivf_assign(queries.withColumn("vector", F.col("vector").cast("array<double>")), c, probes).select(F.col("id").alias("src"), F.col("vector").alias("_q"), "list")
-    pairs = q.join(b, "list").filter(F.col("src") != F.col("dst")).select("src", "dst", cosine(F.col("_q"), F.col("_b")).alias("similarity"))
-    return top_k(pairs, ["src"], [F.desc("similarity"), F.col("dst")], k)
+    books = residual_codebooks(base, c, pq_parts) if pq_parts else None
+    double = lambda df: df.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    b = cut(ivf_assign(double(base), c, 1))
+    sizes = b.groupBy("list").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))  # one row a list
+    b = b.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("list", "part", "id", "vector")
+    q = ivf_assign(double(queries), c, probes).join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "id", "vector")
+    more = 4 * k if pq_parts else k
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"src": [], "dst": [], "similarity": []})
+        u, v = (np.stack(df["vector"].to_numpy()) for df in (left, right))
+        s, own, ids = likeness(u, quantised(v, c, books) if pq_parts else v, "cosine"), left["id"].to_numpy(), right["id"].to_numpy()
+        rows, cols = nearest(s, own, ids, more)
+        return pd.DataFrame({"src": own[rows], "dst": ids[cols], "similarity": s[rows, cols]})
+
+    found = top_k(q.groupBy("list", "part").cogroup(b.groupBy("list", "part")).applyInPandas(best, NEIGHBOURS), ["src"], [F.desc("similarity"), F.col("dst")], more)
+    if not pq_parts:
+        return found
+    full = found.select("src", "dst").join(queries.select(F.col("id").alias("src"), F.col("vector").alias("_q")), "src").join(base.select(F.col("id").alias("dst"), F.col("vector").alias("_b")), "dst")
+    return top_k(full.select("src", "dst", cosine(F.col("_q"), F.col("_b")).alias("similarity")), ["src"], [F.desc("similarity"), F.col("dst")], k)
+
+
+def all_pairs(vectors: DataFrame, *, block: int = 1024) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b: the asked-for matrix itself, block by block; for small sets such as a pyramid's top."""
+    n = max(1, -(-vectors.count() // block))
+    own = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).alias("g"))
+    sides = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).select("id", "vector", F.least("g", "o").alias("x"), F.greatest("g", "o").alias("y"), "g")
+
+    def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, ids, g = np.stack(pdf["vector"].to_numpy()).astype(np.float64), pdf["id"].to_numpy(), pdf["g"].to_numpy()
+        s = likeness(v, v, "cosine")
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        i, j = np.nonzero((ids[:, None] < ids[None, :]) & ((x == y) | (g[:, None] != g[None, :])))
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "similarity": s[i, j]})
+
+    return sides.groupBy("x", "y").applyInPandas(matrix, "a long, b long, similarity double")
+
+
+def mean_pool(tokens: DataFrame, key: str, vector: str = "vector", mask: str = "mask") -> DataFrame:
+    """(key, vector): the mean of a text's unmasked token vectors; zeros if all are masked."""
+    at = tokens.select(key, mask, F.posexplode(vector).alias("_i", "_x"))
+    sums = at.groupBy(key, "_i").agg(F.sum(F.when(F.col(mask) > 0, F.col("_x")).otherwise(0.0)).alias("_s"), F.sum(F.when(F.col(mask) > 0, 1).otherwise(0)).alias("_n"))
+    each = F.struct("_i", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(0.0).alias("_v"))
+    return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["_v"]).alias(vector))  # as many as a vector has coordinates
+
+
+def similarity_of(distance, scale: float = 1.0):
+    return 1 / (1 + distance * scale)
+
+
+def distance_of_inner(inner):
+    return 1 - inner
+
+
+def edge_weights(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (src, dst) with ``has_edge`` and ``weight``, 0 where there is none."""
+    j = pairs.join(edges.select("src", "dst", F.col("weight").alias("_w")), ["src", "dst"], "left")
+    return j.select("src", "dst", F.col("_w").isNotNull().alias("has_edge"), F.coalesce("_w", F.lit(0.0)).alias("weight"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -165,6 +263,23 @@ def well_connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.groupBy("label").agg(F.count_distinct("root").alias("n_parts")).withColumn("connected", F.col("n_parts") == 1)
 
 
+def gains(edges: DataFrame, labels: DataFrame, resolution: float = 1.0, strength: DataFrame | None = None, two_m: float | None = None) -> DataFrame:
+    """(node, to, gain): the modularity that each node would gain by moving to each neighbouring community, to nine digits."""
+    if strength is None:
+        strength = edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    if two_m is None:
+        two_m = float(strength.agg(F.coalesce(F.sum("k"), F.lit(0.0))).first()[0]) or 1.0
+    m = two_m / 2
+    own = labels.join(strength, "node")
+    sigma = own.groupBy("label").agg(F.sum("k").alias("sigma"))
+    links = edges.filter("src <> dst").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
+    here = own.join(sigma, "label").join(links.select("node", F.col("to").alias("label"), F.col("w").alias("w_here")), ["node", "label"], "left")
+    there = links.join(sigma.withColumnRenamed("label", "to").withColumnRenamed("sigma", "s_to"), "to")
+    j = here.join(there, "node").filter("to <> label")
+    gain = (F.col("w") - F.coalesce("w_here", F.lit(0.0))) / m - resolution * F.col("k") * (F.col("s_to") - (F.col("sigma") - F.col("k"))) / (2 * m * m)
+    return j.select("node", "to", F.round(gain, 9).alias("gain"))
+
+
 def communities(edges: DataFrame, *, resolution: float = 1.0, sweeps: int = 100, least_gain: float = 1e-7) -> DataFrame:
     """(node, label): local moving in bulk sweeps of two rounds, one half of the nodes (by a hash of node and sweep) moving in each.
 
@@ -173,18 +288,12 @@ def communities(edges: DataFrame, *, resolution: float = 1.0, sweeps: int = 100,
     """
     strength = cut(edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
     two_m = float(strength.agg(F.coalesce(F.sum("k"), F.lit(0.0))).first()[0]) or 1.0
-    m = two_m / 2
     labels = strength.select("node", F.col("node").alias("label"))
     still = 0
     for r in range(2 * sweeps):
-        own = labels.join(strength, "node")
-        sigma = own.groupBy("label").agg(F.sum("k").alias("sigma"))
-        links = edges.filter("src <> dst").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
-        here = own.join(sigma, "label").join(links.select("node", F.col("to").alias("label"), F.col("w").alias("w_here")), ["node", "label"], "left")
-        there = links.join(sigma.withColumnRenamed("label", "to").withColumnRenamed("sigma", "s_to"), "to")
-        j = here.join(there, "node").filter("to <> label")
-        gain = (F.col("w") - F.coalesce("w_here", F.lit(0.0))) / m - resolution * F.col("k") * (F.col("s_to") - (F.col("sigma") - F.col("k"))) / (2 * m * m)
-        moves = j.withColumn("gain", gain).filter((F.col("gain") > least_gain) & (F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2))
+        # Half of the nodes, by arithmetic that any engine can repeat.
+        half = F.pmod((F.pmod("node", F.lit(65_537)) + r // 2 + 1) * (7919 + 2 * (r // 2)), F.lit(65_537)) % 2
+        moves = gains(edges, labels, resolution, strength, two_m).filter((F.col("gain") > least_gain) & (half == r % 2))
         best = moves.groupBy("node").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("_new"))
         after = cut(labels.join(best, "node", "left").select("node", F.coalesce("_new", "label").alias("label"), F.col("_new").isNotNull().alias("moved")))
         n = after.filter("moved").count()
@@ -201,6 +310,29 @@ def split_small(labels: DataFrame, least: int, most: int) -> DataFrame:
     return labels.join(n, "label").withColumn("kept", F.col("size").between(least, most))
 
 
+def filter_sizes(labels: DataFrame, least: int, most: int) -> DataFrame:
+    """(node, label, name): labels within bounds numbered from 0 in their order; all other nodes share the next one, named FILTERED."""
+    from .relational import dense_ids
+
+    sized = split_small(labels, least, most)
+    kept = dense_ids(sized.filter("kept").select("label").distinct(), ["label"], "_new")
+    total = kept.agg(F.count("*").alias("_k"))
+    j = sized.join(kept, "label", "left").join(F.broadcast(total))  # one row
+    return j.select("node", F.coalesce("_new", "_k").alias("label"), F.when(F.col("kept"), F.concat(F.lit("C"), F.col("_new").cast("string"))).otherwise("FILTERED").alias("name"))
+
+
+def cluster_anchors(assigned: DataFrame) -> DataFrame:
+    """(label, size, anchor, confidence) of (node, label, anchor, p): the anchor with the largest sum of its members' confidences."""
+    per = assigned.groupBy("label", "anchor").agg(F.sum("p").alias("c"), F.count("*").alias("n"))
+    return per.groupBy("label").agg(F.sum("n").alias("size"), F.min_by("anchor", F.struct(-F.round("c", 9), F.col("anchor"))).alias("anchor"), F.max("c").alias("confidence"))
+
+
+def em_summary(assigned: DataFrame) -> DataFrame:
+    """One row over (node, label, p, collapsed): nodes, clusters, collapsed, mean confidence, single nodes."""
+    per = assigned.groupBy("label").agg(F.count("*").alias("n"), F.count_if("collapsed").alias("c"), F.sum("p").alias("p"))
+    return per.agg(F.sum("n").alias("n_nodes"), F.count("*").alias("n_clusters"), F.sum("c").alias("n_collapsed"), (F.sum("p") / F.sum("n")).alias("mean_p"), F.count_if(F.col("n") == 1).alias("n_single"), F.max("n").alias("largest"))
+
+
 def self_em_start(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """In-cluster similarities with ones on the diagonal (i, j, s), and each node's normalised row of them (i, j, p)."""
     l, r = labels.select(F.col("node").alias("src"), F.col("label").alias("_a")), labels.select(F.col("node").alias("dst"), F.col("label").alias("_b"))
@@ -253,6 +385,35 @@ def representatives(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return g.withColumn("mean_distance", F.when(F.col("size") > 1, (F.col("size") - 1 - F.col("_w")) / (F.col("size") - 1)).otherwise(0.0)).drop("_w")
 
 
+def representatives_by(edges: DataFrame, labels: DataFrame, method: str, confidence: DataFrame | None = None, *, sample: int = 0) -> DataFrame:
+    """(label, representative) by ``medoid``, ``degree`` (most edges inside), ``confidence`` ((node, p), ties of 1e-6 to the larger
+    in-cluster weight) or ``approximate`` (the medoid by the distances to the ``sample`` smallest nodes of each cluster); further ties to the smaller node."""
+    from .relational import top_k
+
+    if method == "medoid":
+        return representatives(edges, labels).select("label", "representative")
+    if method == "confidence":
+        t = cluster_table(edges, labels).join(confidence, "node", "left")
+        order = F.struct(-F.floor(F.coalesce("p", F.lit(0.0)) * 1e6), -F.round("inside", 9), F.col("node"))
+        return t.groupBy("label").agg(F.min_by("node", order).alias("representative"))
+    l, r = labels.select(F.col("node").alias("src"), F.col("label").alias("_a")), labels.select(F.col("node").alias("dst"), F.col("label").alias("_b"))
+    inside = edges.filter("src <> dst").join(l, "src").join(r, "dst").filter("_a = _b")
+    if method == "approximate":
+        told = top_k(labels, ["label"], [F.col("node")], sample).select(F.col("node").alias("dst"))
+        inside = inside.join(told, "dst", "left_semi")
+        w = inside.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("_w"))
+        # Distance 0 to itself counts like an edge of weight 1, if the node is one of those told.
+        own = labels.join(w, "node", "left").join(told.select(F.col("dst").alias("node"), F.lit(1.0).alias("_o")), "node", "left")
+        score = F.round(F.coalesce("_w", F.lit(0.0)) + F.coalesce("_o", F.lit(0.0)), 9)
+    elif method == "degree":
+        w = inside.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_w"))
+        own = labels.join(w, "node", "left")
+        score = F.coalesce("_w", F.lit(0))
+    else:
+        raise ValueError(f"no such method: {method}")
+    return own.groupBy("label").agg(F.min_by("node", F.struct(-score, F.col("node"))).alias("representative"))
+
+
 def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, size, cohesion): mean weight over all pairs of the cluster, missing edges 0; 1 for single nodes."""
     g = cluster_table(edges, labels).groupBy("label").agg(F.first("size").alias("size"), F.sum("inside").alias("_w"))
@@ -264,9 +425,31 @@ def hash_embedding(text, dim: int = 64):
     return unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.xxhash64(text, i) / F.lit(2.0**63)))
 
 
-def allpair(reads: DataFrame, *, k: int = 10, least: float = 0.35, dim: int = 64) -> DataFrame:
+def kmer_sketch(reads: DataFrame, *, k: int = 7, dim: int = 256) -> DataFrame:
+    """(id, vector): counts of canonical k-mers in ``dim`` signed hashed coordinates, so that like reads have like vectors."""
+    base = np.full(256, 4, np.uint8)
+    base[list(b"ACGTacgt")] = [0, 1, 2, 3] * 2
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for s in pdf["seq"]:
+                code, n = base[np.frombuffer((s or "").encode(), np.uint8)].astype(np.int64), len(s or "") - k + 1
+                v = np.zeros(dim)
+                if n > 0:
+                    fwd = sum((code[i : i + n] & 3) << (2 * (k - 1 - i)) for i in range(k))
+                    rev = sum((3 - (code[i : i + n] & 3)) << (2 * i) for i in range(k))
+                    h = (np.minimum(fwd, rev) + 1) * 2_654_435_761 % (1 << 32)
+                    np.add.at(v, (h >> 8) % dim, np.where(h & 1, 1.0, -1.0))
+                out.append(v / max(np.linalg.norm(v), 1e-300))
+            yield pd.DataFrame({"id": pdf["read_id"], "vector": out})
+
+    return reads.select("read_id", "seq").mapInPandas(run, "id long, vector array<double>")
+
+
+def allpair(reads: DataFrame, *, k: int = 10, least: float = 0.35, dim: int = 256) -> DataFrame:
     """Reads (read_id, seq) to (read_id, cluster_id, anchor, confidence, is_representative, cluster_size, read_length)."""
-    v = cut(reads.select(F.col("read_id").alias("id"), hash_embedding(F.col("seq"), dim).alias("vector")))
+    v = cut(kmer_sketch(reads, dim=dim))
     e = cut(graph(knn(v, v, k), least=least))
     found = communities(e)
     labels = cut(v.select(F.col("id").alias("node")).join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")))

@@ -9,9 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import code_of, kmers, seeds_in
+from ..functions.cigar import walk
+from ..functions.sequence import code_of, hamming, kmers, seeds_in
 from ..runtime import bounded
-from .relational import softmax
+from .relational import points_in_intervals, softmax
 
 
 def likelihoods(obs: DataFrame, sites: DataFrame, paralogs: DataFrame, *, error: float = 0.01, min_quality: int = 20, min_informativeness: float = 0.5) -> DataFrame:
@@ -76,6 +77,67 @@ def catalogue(sequences: DataFrame, *, least: float = 0.5) -> DataFrame:
     return cols.join(info, "pos")
 
 
+def sites_in(spans: DataFrame, sites: DataFrame, *, on: str = "chrom") -> DataFrame:
+    """Pairs of spans (chrom, start, end) and sites (chrom, pos) with ``start <= pos <= end``, by bins."""
+    return points_in_intervals(sites, spans.withColumn("_end", F.col("end") + 1), on=[on], end="_end").drop("_end")
+
+
+def observations(hits: DataFrame, sites: DataFrame, *, quality: int = 30) -> DataFrame:
+    """(read_id, hit, psv_id, base, read_pos, base_quality): the bases that alignments have at variant sites.
+
+    ``hits``: (read_id, hit, chrom, start, end, cigar, seq), ``sites``: (psv_id, chrom, pos), one row a site. Only hits
+    that span a site are walked; a deleted site gives nothing.
+    """
+    spanned = sites_in(hits.select("read_id", "hit", "chrom", "start", "end"), sites.select("psv_id", "chrom", "pos")).select("read_id", "hit", "psv_id", "pos")
+    walked = walk(hits.join(spanned.select("read_id", "hit").distinct(), ["read_id", "hit"], "left_semi"), ["read_id", "hit"], "cigar", "start")
+    at = spanned.join(walked, (spanned["read_id"] == walked["read_id"]) & (spanned["hit"] == walked["hit"]) & (spanned["pos"] == walked["ref_pos"])).select(spanned["read_id"], spanned["hit"], "psv_id", "read_pos")
+    seen = at.join(hits.select("read_id", "hit", "seq"), ["read_id", "hit"]).withColumn("base", F.substr("seq", (F.col("read_pos") + 1).cast("int"), F.lit(1)))
+    return seen.filter(F.col("base") != "").select("read_id", "hit", "psv_id", "base", "read_pos", F.lit(quality).alias("base_quality"))
+
+
+def updated_calls(called: DataFrame, posterior: DataFrame, *, weight: float = 0.5) -> DataFrame:
+    """Records' paralog calls (read_id, paralog, p, n_psvs) after new posteriors (the same columns): merged where a read has a call."""
+    old = called.select("read_id").distinct()
+    both = merge_calls(called.join(posterior.select("read_id").distinct(), "read_id", "left_semi"), posterior.join(old, "read_id", "left_semi"), weight)
+    kept = called.join(posterior.select("read_id").distinct(), "read_id", "left_anti").select("read_id", "paralog", "p")
+    return both.unionByName(kept).unionByName(posterior.join(old, "read_id", "left_anti").select("read_id", "paralog", "p"))
+
+
+def allele_code(base: Column) -> Column:
+    """A, C, G, T and deletions as 0 to 4, everything else 5."""
+    at = F.instr(F.lit("ACGT-"), F.upper(base))
+    return F.when((F.length(base) == 1) & (at > 0), at - 1).otherwise(5)
+
+
+def allele_of(code: Column) -> Column:
+    return F.when(code.between(0, 4), F.substring(F.lit("ACGT-"), (code + 1).cast("int"), F.lit(1))).otherwise("N")
+
+
+def anchor_hits_within(reads: DataFrame, anchors: DataFrame, mismatches: int, *, least_tile: int = 8, most: int = 1 << 20) -> DataFrame:
+    """(read_id, gene, copy, exon, forward): anchors that a read contains with at most ``mismatches`` substitutions, on either strand.
+
+    By the pigeon-hole principle one of mismatches + 1 tiles of an anchor occurs unchanged. The tiles' first bases, as many
+    as the shortest tile has, are an equi-join key; candidates are verified base by base. Anchors whose tiles would be
+    shorter than ``least_tile`` match exactly only.
+    """
+    rc = F.reverse(F.translate("anchor", "ACGT", "TGCA"))
+    both = anchors.withColumn("forward", F.lit(True)).unionByName(anchors.withColumn("anchor", rc).withColumn("forward", F.lit(False)))
+    tile = F.floor(F.length("anchor") / (mismatches + 1)).cast("int")
+    both = both.withColumn("_m", F.when(tile >= least_tile, mismatches).otherwise(0)).withColumn("_tile", F.floor(F.length("anchor") / (F.col("_m") + 1)).cast("int"))
+    k = min(31, both.agg(F.min("_tile")).first()[0] or least_tile)
+    tiles = both.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_m")))).withColumn("_off", F.col("_t") * F.col("_tile"))
+    tiles = tiles.withColumn("_key", code_of(F.substr("anchor", F.col("_off") + 1, F.lit(k))))
+    keys = tiles.select("_key").distinct().limit(most + 1).toPandas()["_key"].to_numpy(np.int64)
+    if len(keys) <= most:
+        found = seeds_in(reads, "read_id", "seq", np.sort(keys.view(np.uint64)), k)
+    else:
+        found = kmers(reads, "read_id", "seq", k).select("read_id", "pos", code_of(F.col("kmer")).alias("code"))
+    seeds = found.select("read_id", F.col("pos").alias("_p"), F.col("code").alias("_key"))
+    hits = seeds.join(tiles, "_key").withColumn("_at", F.col("_p") - F.col("_off")).filter("_at >= 0").select("read_id", "_at", "anchor", "gene", "copy", "exon", "forward", "_m").distinct()
+    there = hits.join(reads.select("read_id", "seq"), "read_id").withColumn("_s", F.substr("seq", (F.col("_at") + 1).cast("int"), F.length("anchor"))).drop("seq")
+    return there.filter((F.length("_s") == F.length("anchor")) & (hamming(F.col("_s"), F.col("anchor")) <= F.col("_m"))).select("read_id", "gene", "copy", "exon", "forward").distinct()
+
+
 def anchor_hits(reads: DataFrame, anchors: DataFrame, k: int, *, most: int = 1 << 20) -> DataFrame:
     """(read_id, gene, copy, exon, forward): anchors that a read contains, on either strand.
 
@@ -113,6 +175,27 @@ def resort(calls: DataFrame, *, min_exons: int = 2) -> DataFrame:
     return calls.withColumn("relabelled", ok).withColumn("target", F.when(ok, F.col("copy"))).withColumn("paralog_p", F.when(ok, 1.0))
 
 
+def in_locus(contig: Column, start: Column, locus: str, begin: int, end: int) -> Column:
+    """The position lies in ``begin <= start < end`` of the locus' contig (see :func:`locus_matches`)."""
+    return locus_matches(contig, locus) & (start >= begin) & (start < end)
+
+
+def resort_alignments(alignments: DataFrame, calls: DataFrame, places: DataFrame, *, locus: tuple[str, int, int], genes: tuple[str, ...] = (), min_exons: int = 2) -> DataFrame:
+    """Alignments (read_id, target, start, end) after re-sorting by exon copies: target, start, end, paralog_p, relabelled.
+
+    An alignment passes the gate if its target is one of ``genes`` or it starts in the locus (contig, begin, end). If the
+    read's call (see :func:`best_copy`) has enough exons of one gene, it moves to the copy's place (copy, contig, start,
+    end; a copy without one keeps the coordinates) with probability 1; all others stay as they are.
+    """
+    c = resort(calls, min_exons=min_exons).filter("relabelled").select("read_id", "copy")
+    p = places.select("copy", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    j = alignments.join(c, "read_id", "left").join(p, "copy", "left")
+    gate = F.col("target").isin(*genes) | in_locus(F.col("target"), F.col("start"), *locus) if genes else in_locus(F.col("target"), F.col("start"), *locus)
+    ok = F.coalesce(gate & F.col("copy").isNotNull(), F.lit(False))
+    moved = lambda new, old: F.when(ok, F.coalesce(new, old)).otherwise(F.col(old)).alias(old)
+    return j.select("read_id", moved("copy", "target"), moved("_s", "start"), moved("_e", "end"), F.when(ok, 1.0).alias("paralog_p"), ok.alias("relabelled"))
+
+
 def locus_matches(contig: Column, locus: str) -> Column:
     """The contig is the locus or ends with it after one of # _ . | / :"""
     return (contig == locus) | contig.rlike(r"[#_.|/:]" + re.escape(locus) + "$")

@@ -78,6 +78,11 @@ def tag(aux: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(aux, rf"(?:^|\t){name}:[A-Za-z]:([^\t]*)", 1), F.lit(""))
 
 
+def name_with_tags(name: Column, barcode: Column, umi: Column, sep: str = "_") -> Column:
+    """The read name that carries a barcode and a UMI, as :func:`tags_from_name` reads them; absent ones add nothing."""
+    return F.concat_ws(sep, name, barcode, umi)
+
+
 def merged_tags(first: dict, second: dict) -> dict:
     """Tags of two sources, the first's where it has them."""
     return {k: F.coalesce(*[s[k] for s in (first, second) if k in s]) for k in {**first, **second}}

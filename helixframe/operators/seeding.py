@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ratio
+from .relational import top_k
 
 
 def occurrences(index: DataFrame, key: str = "kmer") -> DataFrame:
@@ -17,14 +18,18 @@ def suppress(index: DataFrame, max_occ: int, key: str = "kmer") -> DataFrame:
     return index.join(occurrences(index, key).filter(F.col("n_occ") <= max_occ).select(key), key, "left_semi")
 
 
-def seed_join(queries: DataFrame, index: DataFrame, *, max_occ: int = 5000, key: str = "kmer") -> DataFrame:
+def seed_join(queries: DataFrame, index: DataFrame, *, max_occ: int = 5000, key: str = "kmer", max_hits: int | None = None) -> DataFrame:
     """(read_id, ref_id, ref_pos, query_pos, same_strand) for each query minimizer and each posting of its key.
 
-    ``same_strand``: the read's and the reference's k-mers have the same orientation.
+    ``same_strand``: the read's and the reference's k-mers have the same orientation. ``max_hits``: the most hits of a
+    read, those of its first query positions.
     """
     i = suppress(index, max_occ, key).select(key, "ref_id", F.col("pos").alias("ref_pos"), F.col("same_strand").alias("_r"))
     q = queries.select(key, "read_id", F.col("pos").alias("query_pos"), F.col("same_strand").alias("_q"))
-    return q.join(i, key).select("read_id", "ref_id", "ref_pos", "query_pos", (F.col("_q") == F.col("_r")).alias("same_strand"))
+    hits = q.join(i, key).select("read_id", "ref_id", "ref_pos", "query_pos", (F.col("_q") == F.col("_r")).alias("same_strand"))
+    if max_hits is None:
+        return hits
+    return top_k(hits, ["read_id"], [F.col("query_pos"), F.col("ref_id"), F.col("ref_pos")], max_hits).drop("rank")
 
 
 def index_stats(sequences: DataFrame, index: DataFrame, key: str = "kmer") -> DataFrame:

@@ -35,6 +35,11 @@ def coverage(wave: DataFrame) -> DataFrame:
     return wave.groupBy("bucket_id").agg(F.sum("p").alias("coverage"))
 
 
+def few_buckets(wave: DataFrame, most: int = 100_000) -> bool:
+    """Whether a wave has at most ``most`` buckets; later waves of the same level have no others."""
+    return wave.select("bucket_id").distinct().limit(most + 1).count() <= most
+
+
 def neighbourhood(buckets: DataFrame, *, sigma: float = 100_000.0, least: float = 0.001, most: int = 20, key: str = "bucket_id", pos: str = "pos", contig: str = "contig") -> DataFrame:
     """(bucket_id, neighbour, weight): Gaussian weights of buckets of the same contig, the heaviest ``most`` each."""
     radius = int(sigma * math.sqrt(-2 * math.log(least)))
@@ -49,13 +54,16 @@ def smoothing(wave: DataFrame, neighbours: DataFrame) -> DataFrame:
     return wave.select("read_id", F.col("bucket_id").alias("neighbour"), F.col("p").alias("_q")).join(neighbours, "neighbour").groupBy("read_id", "bucket_id").agg(F.sum(F.col("weight") * F.col("_q")).alias("support"))
 
 
-def em_step(wave: DataFrame, *, config: EmConfig = EmConfig(), likelihood: Column | None = None, ai_prior: Column | None = None, bio: DataFrame | None = None, neighbours: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+def em_step(wave: DataFrame, *, config: EmConfig = EmConfig(), likelihood: Column | None = None, ai_prior: Column | None = None, bio: DataFrame | None = None, neighbours: DataFrame | None = None, evidence: DataFrame | None = None, few: bool = False) -> DataFrame:
     """One round: damped update by likelihood, coverage and priors, then normalisation for each read.
 
-    ``evidence``: (read_id, bucket_id, likelihood) of a read's own, absent pairs have 0; ``bio``: (bucket_id, bio_prior), absent buckets weigh 1; ``neighbours``: as :func:`neighbourhood` gives them.
+    ``few``: the buckets' number has been checked (:func:`few_buckets`), so that what each of them has is sent to all tasks
+    and the wave stays where its reads are; else it is joined by bucket. ``evidence``: (read_id, bucket_id, likelihood) of a
+    read's own, absent pairs have 0; ``bio``: (bucket_id, bio_prior), absent buckets weigh 1; ``neighbours``: as :func:`neighbourhood` gives them.
     """
     c = config
-    w = wave.join(coverage(wave), "bucket_id")
+    side = F.broadcast if few else (lambda df: df)
+    w = wave.join(side(coverage(wave)), "bucket_id")
     f = F.greatest("coverage", F.lit(c.least_coverage)) if c.coverage_weight == 1 else F.pow(F.greatest("coverage", F.lit(c.least_coverage)), F.lit(c.coverage_weight))
     for term, weight in ((likelihood, c.likelihood_weight), (ai_prior, c.ai_weight)):
         if term is not None:
@@ -65,7 +73,7 @@ def em_step(wave: DataFrame, *, config: EmConfig = EmConfig(), likelihood: Colum
         own = F.coalesce("_l", F.lit(0.0))
         f = f * (own if c.likelihood_weight == 1 else F.pow(own, F.lit(c.likelihood_weight)))
     if bio is not None:
-        w = w.join(bio.select("bucket_id", "bio_prior"), "bucket_id", "left")
+        w = w.join(side(bio.select("bucket_id", "bio_prior")) if few and few_buckets(bio) else bio.select("bucket_id", "bio_prior"), "bucket_id", "left")
         prior = F.coalesce("bio_prior", F.lit(1.0))
         f = f * (prior if c.bio_weight == 1 else F.pow(prior, F.lit(c.bio_weight)))
     if neighbours is not None:
@@ -86,24 +94,50 @@ def em_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("n_reads"), F.max("delta").alias("max_delta"), F.avg("entropy").alias("mean_entropy"), F.count_if(F.col("max_p") >= 0.99).alias("n_collapsed"))
 
 
-def run_em(wave: DataFrame, *, config: EmConfig = EmConfig(), on_round: Callable | None = None, **terms) -> tuple[DataFrame, DataFrame]:
-    """Rounds until nothing moves by more than epsilon; (active wave, collapsed reads). Collapsed reads leave the loop."""
+def run_em(wave: DataFrame, *, config: EmConfig = EmConfig(), on_round: Callable | None = None, on_stall: Callable | None = None, stop_rate: float | None = None, **terms) -> tuple[DataFrame, DataFrame]:
+    """Rounds until nothing moves by more than epsilon; (active wave, collapsed reads). Collapsed reads leave the loop.
+
+    ``stop_rate``: the share of collapsed reads from which the level is left. ``on_round(round, statistics)`` sees each
+    round; ``on_stall(round, state)`` is called where the entropies of the last five rounds say that they get nowhere, and
+    ends the loop by returning True.
+    """
     done: DataFrame | None = None
     now = cut(wave)
+    entropies: list[float] = []
+    total, fallen, few = None, 0, few_buckets(now)
     for k in range(config.max_rounds):
-        after = cut(em_step(now, config=config, **terms))
+        after = cut(em_step(now, config=config, few=few, **terms))
         stats = em_stats(now, after).first()
         if on_round:
             on_round(k, stats.asDict())
         fixed = collapse(after, config.collapse).filter("collapsed")
         done = fixed if done is None else done.unionByName(fixed)
         now = after.join(fixed.select("read_id"), "read_id", "left_anti")
-        if not stats["n_reads"] or stats["max_delta"] < config.epsilon:
+        total = stats["n_reads"] if total is None else total
+        fallen += stats["n_collapsed"] if config.collapse == 0.99 else fixed.count()
+        if not stats["n_reads"] or stats["max_delta"] < config.epsilon or (stop_rate is not None and fallen >= stop_rate * total):
+            break
+        entropies.append(stats["mean_entropy"] or 0.0)
+        state = stall_state(entropies)
+        if on_stall and state in ("Oscillating", "NoProgress") and on_stall(k, state):
             break
         now = cut(now)
     return now, done
 
 
+def stall_state(entropies: list[float], *, window: int = 5, swing: float = 0.1, least: float = 0.01, ratio_: float = 0.8) -> str:
+    """What :func:`stall.states` says of the last of a run's mean entropies."""
+    last = entropies[-window:]
+    if len(last) < window:
+        return "Warming"
+    delta = [b - a for a, b in zip(last, last[1:])]
+    if sum(a * b < 0 for a, b in zip(delta[-4:], delta[-3:])) >= 2 and max(map(abs, delta)) > swing:
+        return "Oscillating"
+    if abs(last[0] - last[-1]) < least:
+        return "NoProgress"
+    return "HighUncertainty" if last[0] and last[-1] / last[0] > ratio_ else "Fine"
+
+
 def collapse(wave: DataFrame, threshold: float = 0.99) -> DataFrame:
     """(read_id, max_p, best_bucket, collapsed)."""
     best = wave.groupBy("read_id").agg(F.max("p").alias("max_p"), F.max_by("bucket_id", F.struct(F.col("p"), -F.col("bucket_id"))).alias("best_bucket"))
@@ -129,7 +163,8 @@ def refine(wave: DataFrame, children: DataFrame, *, least: float = 0.01, most: i
     weight = F.col(prior) if prior else F.lit(1.0)
     # Shares are computed among the children, before they meet the reads: no window over the joined rows.
     split = children.select(F.col("parent").alias("bucket_id"), "child", (weight / F.sum(weight).over(Window.partitionBy("parent"))).alias("_w"))
-    parts = wave.filter(F.col("p") >= least).join(split, "bucket_id")
+    # One shuffle, by read: the sum over a child's parents, the ranks and the normalisation all find their rows together.
+    parts = wave.filter(F.col("p") >= least).join(split, "bucket_id").repartition("read_id")
     share = F.col("p") * F.col("_w")
     merged = parts.withColumn("_s", share).groupBy("read_id", "child").agg(F.sum("_s").alias("p"))
     kept = top_k(merged, ["read_id"], [F.desc("p"), F.col("child")], most).drop("rank").withColumnRenamed("child", "bucket_id")
@@ -141,9 +176,11 @@ def should_refine(wave: DataFrame, *, sure: float = 0.9, share: float = 0.8) ->
     return s.withColumn("share", ratio("n_sure", "n_reads")).withColumn("refine", F.col("share") >= share)
 
 
-def run_levels(reads: DataFrame, levels: list[DataFrame], children: list[DataFrame], *, config: EmConfig = EmConfig(), evidence: list[DataFrame] | None = None, **terms) -> DataFrame:
+def run_levels(reads: DataFrame, levels: list[DataFrame], children: list[DataFrame], *, config: EmConfig = EmConfig(), evidence: list[DataFrame] | None = None, level_rate: float = 0.8, **terms) -> DataFrame:
     """Uniform start over the coarsest buckets, then EM and refinement level by level: the finest wave.
 
+    A level above the finest is also left once ``level_rate`` of its reads have collapsed.
+
     ``levels[0]``: (bucket_id); ``children[i]``: (parent, child) from level i to i + 1; ``evidence[i]``: as
     :func:`em_step` takes it, for the buckets of level i.
     """
@@ -152,7 +189,8 @@ def run_levels(reads: DataFrame, levels: list[DataFrame], children: list[DataFra
     for k in range(len(children) + 1):
         if k:
             wave = refine(wave, children[k - 1])
-        active, done = run_em(wave, config=config, evidence=evidence[k] if evidence else None, **terms)
+        last = k == len(children)
+        active, done = run_em(wave, config=config, evidence=evidence[k] if evidence else None, stop_rate=None if last else level_rate, **terms)
         fixed = done.select("read_id", F.col("best_bucket").alias("bucket_id"), F.lit(1.0).alias("p"))
         wave = cut(active.select("read_id", "bucket_id", "p").unionByName(fixed))
     return wave
@@ -184,6 +222,11 @@ def propagate(members: DataFrame, wave: DataFrame, cohesion: DataFrame, *, most:
     return m.join(best, "rep_id").select("read_id", "bucket_id", "p", member_confidence(F.col("rep_p"), F.col("_s"), F.coalesce("cohesion", F.lit(0.0))).alias("confidence"))
 
 
+def propagation_stats(members: DataFrame) -> DataFrame:
+    """One row over propagated waves (read_id, bucket_id, p, confidence)."""
+    return members.agg(F.count_distinct("read_id").alias("n_members"), F.count("*").alias("n_entries"), F.avg("confidence").alias("mean_confidence"), F.min("confidence").alias("min_confidence"), F.avg("p").alias("mean_p"))
+
+
 def pyramid_tiles(targets: DataFrame, *, coarse: int = 5_000_000, fine: int = 50_000) -> DataFrame:
     """(level, bucket_id, ref_id, start, end, parent): targets tiled at two sizes, ids in order of targets and starts."""
     tiles = lambda level, size: targets.filter("length > 0").select(F.lit(level).alias("level"), "ref_id", F.col("length"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start"), F.lit(size).alias("_size"))

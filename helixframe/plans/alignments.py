@@ -2,13 +2,21 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..operators import align as L
-from ..runtime import table
+from ..runtime import cut, scratch, table
+from ..sources import sequences as S
+from ..sources import tables as T
 from .base import query
 
 
-@query("chain_align")
+@query(
+    "chain_align",
+    f"""WITH {A.READS}, {A.REFS} SELECT read_id, ref_id, 0 AS "start", len(f.seq) AS "end", NOT contains(r.seq, f.seq) AS is_reverse FROM reads r JOIN refs f ON contains(r.seq, f.seq) OR contains(r.seq, reverse(translate(f.seq, 'ACGT', 'TGCA'))) WHERE len(f.seq) >= 50""",
+)
 def chain_align(spark, d):
-    return L.align(A.reads(spark, d), A.refs(spark, d))
+    """All reads against all references: the alignments without a difference over a whole reference are the contained ones."""
+    refs = A.refs(spark, d)
+    a = L.align(A.reads(spark, d), refs).filter("identity = 1").join(refs.select("ref_id", F.length("seq").cast("long").alias("n")), "ref_id")
+    return a.filter("start = 0 and end = n").select("read_id", "ref_id", "start", "end", "is_reverse").distinct()
 
 
 @query(
@@ -38,12 +46,20 @@ def stream_event_counts(spark, d):
     return event_counts(spark, f"{d}/events.parquet").select("event_type", "hour", "n", F.round("total", 4).alias("total"))
 
 
-@query("synthetic_reads")
+@query("synthetic_reads", f"WITH {A.REFS} SELECT 3 * count(*) AS n_reads, true AS placed, true AS lengths FROM refs WHERE len(seq) > 0")
 def synthetic_reads(spark, d):
-    """Simulated reads of the references, aligned back, with the distance from where they came from."""
+    """Simulated reads of the references with truth, written as FASTQ and a table, read back and aligned: nine of ten come back to where they came from."""
     from ..operators.synthetic import simulate
 
     refs = A.refs(spark, d)
-    reads = simulate(refs, per_ref=3, length=120)
-    aligned = L.align(reads.select("read_id", "seq"), refs, min_bases=40)
-    return reads.select("read_id", F.col("ref_id").alias("true_ref"), "true_start").join(aligned.filter("is_primary").select("read_id", "ref_id", "start", "identity"), "read_id", "left")
+    made = cut(simulate(refs, per_ref=3, length=120))
+    fastq, truth = scratch(spark), scratch(spark)
+    S.write_fastq(made.select(F.col("read_id").cast("string").alias("id"), F.col("seq").alias("sequence"), F.repeat(F.lit("I"), F.length("seq")).alias("quality")), fastq)
+    T.write_truth(made, truth)
+    reads = S.read_fastq(spark, fastq).select(F.col("id").cast("long").alias("read_id"), F.col("sequence").alias("seq"))
+    aligned = L.align(reads, refs, min_bases=40).filter("is_primary").select("read_id", F.col("ref_id").alias("found"), F.col("start").alias("at"))
+    j = T.read_truth(spark, truth).join(aligned, "read_id", "left").join(reads.select("read_id", F.length("seq").alias("n")), "read_id")
+    right = (F.col("found") == F.col("ref_id")) & (F.abs(F.col("at") - F.col("start")) <= 10)
+    long = F.col("end") - F.col("start") >= 60
+    share = F.count_if(right & long) / F.greatest(F.count_if(long), F.lit(1))
+    return j.agg(F.count("*").alias("n_reads"), (share >= 0.9).alias("placed"), F.bool_and(F.abs(F.col("n") - (F.col("end") - F.col("start"))) <= 20).alias("lengths"))

@@ -94,9 +94,14 @@ _CIGAR = """cig AS (SELECT l_orderkey AS read_id, l_linenumber::INT AS hit, l_pa
 
 
 def cigars(spark, d):
-    return table(spark, d, "lineitem").select(
+    return cigars_of(table(spark, d, "lineitem"))
+
+
+def cigars_of(lines, **more):
+    return lines.select(
         F.col("l_orderkey").alias("read_id"), F.col("l_linenumber").cast("int").alias("hit"), F.col("l_partkey").alias("ref_start"),
         F.concat((F.col("l_linenumber") % 3).cast("string"), F.lit("S"), F.col("l_quantity").cast("int").cast("string"), F.lit("M"), (1 + F.col("l_suppkey") % 4).cast("string"), F.lit("I"), (5 + F.col("l_partkey") % 7).cast("string"), F.lit("="), (1 + F.col("l_linenumber") % 2).cast("string"), F.lit("D3X")).alias("cigar"),
+        *[c.alias(n) for n, c in more.items()],
     )
 
 

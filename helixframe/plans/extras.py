@@ -6,7 +6,7 @@ from ..operators import graph as G
 from ..operators import records as X
 from ..operators import relational as R
 from ..operators import wave as W
-from ..runtime import cut, q, table
+from ..runtime import q, table
 from .base import query
 from .wave import wave
 
@@ -76,8 +76,9 @@ def read_barcodes(spark, d):
 
 @query(
     "real_validation",
-    f"""WITH {A.CALLS_A}, {A.CALLS_B}, j AS (SELECT coalesce(a.mapped, false) AS ma, coalesce(b.mapped, false) AS mb FROM calls_a a FULL JOIN calls_b b ON a.read_id = b.read_id)
-SELECT count(*) AS n, round(count(*) FILTER (ma) / count(*) FILTER (mb)::DOUBLE, 6) AS ratio, true AS complete, count(*) FILTER (ma) / count(*) FILTER (mb)::DOUBLE >= 0.995e0 AS passed FROM j""",
+    f"""WITH {A.CALLS_A}, {A.CALLS_B}, j AS (SELECT coalesce(a.mapped, false) AS ma, coalesce(b.mapped, false) AS mb FROM calls_a a FULL JOIN calls_b b ON a.read_id = b.read_id),
+c AS (SELECT NOT EXISTS (SELECT 1 FROM calls_b WHERE read_id NOT IN (SELECT read_id FROM calls_a)) AS complete)
+SELECT count(*) AS n, round(count(*) FILTER (ma) / count(*) FILTER (mb)::DOUBLE, 6) AS ratio, (SELECT complete FROM c) AS complete, (SELECT complete FROM c) AND count(*) FILTER (ma) / count(*) FILTER (mb)::DOUBLE >= 0.995e0 AS passed FROM j""",
 )
 def real_validation(spark, d):
     return E.real_validation(A.calls_a(spark, d), A.calls_b(spark, d)).select("n", q("ratio").alias("ratio"), "complete", "passed")
@@ -108,15 +109,3 @@ def vector_normalise(spark, d):
     e = table(spark, d, "embeddings").withColumn("u", G.unit(F.col("embedding")))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return e.select("vec_id", q(norm).alias("norm"), q(F.aggregate("u", F.lit(0.0), lambda a, x: a + x)).alias("sum_of_unit"))
-
-
-@query("stage2_levels")
-def stage2_levels(spark, d):
-    """The whole hierarchical loop: uniform over regions, refined to nations, then to suppliers, by the reads' weights."""
-    w, p = cut(wave(spark, d)), A.pyramid(spark, d)
-    # A read's weight of a bucket is that of the finest buckets in it.
-    below = w.withColumnRenamed("bucket_id", "l2").join(p.select("l2", "l1", "l0"), "l2")
-    evidence = [cut(below.groupBy("read_id", F.col(level).alias("bucket_id")).agg(F.sum("p").alias("likelihood"))) for level in ("l0", "l1", "l2")]
-    top = p.select(F.col("l0").alias("bucket_id")).distinct()
-    down = [p.select(F.col("l0").alias("parent"), F.col("l1").alias("child")).distinct(), p.select(F.col("l1").alias("parent"), F.col("l2").alias("child")).distinct()]
-    return W.run_levels(w.select("read_id").distinct(), [top], down, evidence=evidence)

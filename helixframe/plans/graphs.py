@@ -95,27 +95,3 @@ parts AS (SELECT node, min(root) AS root, any_value(label) AS label FROM reach G
 )
 def well_connected(spark, d):
     return G.well_connected(cut(edges(spark, d)), labels(spark, d))
-
-
-@query("communities")
-def communities(spark, d):
-    return G.communities(cut(edges(spark, d)))
-
-
-@query("self_em")
-def self_em(spark, d):
-    return G.self_em(cut(edges(spark, d)), labels(spark, d))
-
-
-@query("knn_ivf_recall")
-def knn_ivf_recall(spark, d):
-    """Recall of the inverted-list index against brute force: queries are the rows whose id is divisible by 50."""
-    v = vectors(spark, d)
-    stated = v.filter("id % 50 = 0")
-    lists = max(1, min(1024, v.count() // 10 + 1))
-    return G.recall(G.knn_ivf(stated, v, 10, lists=lists, probes=max(1, lists // 2)), G.knn(stated, v, 10))
-
-
-@query("allpair_clusters")
-def allpair_clusters(spark, d):
-    return G.allpair(A.reads(spark, d).select("read_id", "seq"))

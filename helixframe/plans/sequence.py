@@ -5,7 +5,7 @@ from ..functions import sequence as Q
 from ..operators import annotation as N
 from ..operators import relational as R
 from ..operators import seeding as S
-from ..runtime import q
+from ..runtime import q, table
 from .base import query
 
 K, W = 11, 5
@@ -66,11 +66,6 @@ def seed_join(spark, d):
     return hits.groupBy("read_id", "ref_id").agg(F.count("*").alias("n_hits"), F.count_if("same_strand").alias("n_same"), F.min("ref_pos").cast("int").alias("first_ref_pos"), F.max("query_pos").cast("int").alias("last_query_pos"))
 
 
-@query("minimizers_hashed")
-def minimizers_hashed(spark, d):
-    return Q.hashed_minimizers(A.refs(spark, d), "ref_id", "seq", k=15, w=10)
-
-
 @query("gc_revcomp", f"WITH {A.READS} SELECT read_id, len(seq)::INT AS n, round(CASE WHEN len(seq) > 0 THEN len(regexp_replace(seq, '[^GC]', '', 'g')) / len(seq)::DOUBLE ELSE 0 END, 6) AS gc, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_md5 FROM reads")
 def gc_revcomp(spark, d):
     return A.reads(spark, d).select("read_id", F.length("seq").alias("n"), q(Q.gc_content(F.col("seq"))).alias("gc"), F.md5(Q.reverse_complement(F.col("seq")).cast("binary")).alias("rc_md5"))
@@ -78,11 +73,11 @@ def gc_revcomp(spark, d):
 
 @query(
     "nucleotide_tokens",
-    f"""WITH {A.REFS}, t AS (SELECT ref_id, [2] || list_transform(string_split(substr(seq, 1, 126), ''), lambda x: CASE x WHEN 'A' THEN 4 WHEN 'C' THEN 5 WHEN 'G' THEN 6 WHEN 'T' THEN 7 ELSE 8 END) || [3] AS ids FROM refs WHERE len(seq) > 0)
-SELECT ref_id, array_to_string(ids || list_transform(range(128 - len(ids)), lambda x: 0), ' ') AS ids FROM t UNION ALL SELECT ref_id, array_to_string([2, 3] || list_transform(range(126), lambda x: 0), ' ') FROM refs WHERE len(seq) = 0""",
+    f"""WITH {A.REFS}, t AS (SELECT ref_id, [2] || list_transform(string_split(substr(seq, 1, 510), ''), lambda x: CASE x WHEN 'A' THEN 4 WHEN 'C' THEN 5 WHEN 'G' THEN 6 WHEN 'T' THEN 7 ELSE 8 END) || [3] AS ids FROM refs WHERE len(seq) > 0)
+SELECT ref_id, array_to_string(ids || list_transform(range(512 - len(ids)), lambda x: 0), ' ') AS ids FROM t UNION ALL SELECT ref_id, array_to_string([2, 3] || list_transform(range(510), lambda x: 0), ' ') FROM refs WHERE len(seq) = 0""",
 )
 def nucleotide_tokens(spark, d):
-    return A.refs(spark, d).select("ref_id", F.array_join(F.transform(Q.tokens(F.col("seq"), 128), lambda x: x.cast("string")), " ").alias("ids"))
+    return A.refs(spark, d).select("ref_id", F.array_join(F.transform(Q.tokens(F.col("seq")), lambda x: x.cast("string")), " ").alias("ids"))
 
 
 def _windows(size: int, step: int) -> str:
@@ -130,13 +125,26 @@ def palindrome_density(spark, d):
 
 @query(
     "tandem_period",
-    f"""WITH {A.REFS}, win AS (SELECT ref_id, s AS "start", substr(seq, s + 1, 60) AS w FROM refs, unnest(range(0, len(seq), 60)) AS u(s)),
-pp AS (SELECT ref_id, "start", p, list_avg([(substr(w, i, 1) = substr(w, i + p, 1))::INT FOR i IN range(1, len(w) - p + 1)]) AS share FROM win, unnest(range(2, least(1000, len(w) // 2) + 1)) AS u(p)),
-b AS (SELECT ref_id, "start", arg_max(p, share * 1e9 - p) AS p, max(share) AS share FROM pp GROUP BY 1, 2)
-SELECT ref_id, "start", (CASE WHEN coalesce(share, 0) >= 0.85 THEN p ELSE -1 END)::INT AS period FROM win LEFT JOIN b USING (ref_id, "start")""",
+    f"""WITH {A.REFS}, pp AS (SELECT ref_id, p, list_avg([(substr(seq, i, 1) = substr(seq, i + p, 1))::INT FOR i IN range(1, len(seq) - p + 1)]) AS share FROM refs, unnest(range(2, least(1000, len(seq) // 2) + 1)) AS u(p)),
+b AS (SELECT ref_id, arg_max(p, share * 1e9 - p) AS p, max(share) AS share FROM pp GROUP BY 1)
+SELECT ref_id, (CASE WHEN coalesce(share, 0) >= 0.85 THEN p ELSE -1 END)::INT AS period FROM refs LEFT JOIN b USING (ref_id)""",
 )
 def tandem_period(spark, d):
-    return Q.tandem_period(Q.windows(A.refs(spark, d), "ref_id", "seq", 60, 60), ["ref_id", "start"], "window")
+    """Periods up to half of whole references (1,000 at most)."""
+    return Q.tandem_period(A.refs(spark, d), ["ref_id"], "seq")
+
+
+@query(
+    "tandem_repeats",
+    """WITH t AS (SELECT p_partkey, repeat(substr('ACGTTGCAAGCTACGGATTC', 1 + (p_partkey % 3)::INT, 2 + (p_partkey % 9)::INT), 12) AS seq FROM part),
+pp AS (SELECT p_partkey, p, list_avg([(seq[i] = seq[i + p])::INT FOR i IN range(1, len(seq) - p + 1)]) AS share FROM t, unnest(range(2, len(seq) // 2 + 1)) AS u(p))
+SELECT p_partkey, CASE WHEN max(share) >= 0.85 THEN arg_max(p, share * 1e9 - p)::INT ELSE -1 END AS period FROM pp GROUP BY 1""",
+)
+def tandem_repeats(spark, d):
+    """Planted repeats of units of two to ten bases."""
+    k = F.col("p_partkey")
+    unit = F.substring(F.lit("ACGTTGCAAGCTACGGATTC"), (1 + k % 3).cast("int"), (2 + k % 9).cast("int"))
+    return Q.tandem_period(table(spark, d, "part").select("p_partkey", F.repeat(unit, F.lit(12)).alias("seq")), ["p_partkey"], "seq")
 
 
 RULES = [

@@ -66,8 +66,9 @@ s{k} AS (SELECT read_id, bucket_id, f / sum(f) OVER (PARTITION BY read_id) AS p
 @query("wave_em_step1", _em(1))
 def wave_em_step1(spark, d, rounds=1):
     w, b = wave(spark, d), bio(spark, d)
+    few = W.few_buckets(A.weights(spark, d))
     for _ in range(rounds):
-        w = W.em_step(w, likelihood=likelihood(), bio=b)
+        w = W.em_step(w, likelihood=likelihood(), bio=b, few=few)
     return w.withColumn("p", q("p"))
 
 

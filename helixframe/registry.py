@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import alignments, base, calls, extras, graphs, sequence, singlecell, wave  # noqa: F401
+from .plans import alignments, base, calls, extras, formats, graphs, loci, sequence, singlecell, vectors, wave  # noqa: F401
 
 
 def queries() -> dict:

@@ -42,13 +42,13 @@ def read_fastq(spark: SparkSession, path: str, *, min_length: int = 0, max_lengt
     return out.limit(max_records) if max_records is not None else out
 
 
-def write_fastq(df: DataFrame, path: str) -> None:
-    df.select(F.concat(F.lit("@"), "id", F.lit("\n"), "sequence", F.lit("\n+\n"), "quality").alias("value")).write.text(path)
+def write_fastq(df: DataFrame, path: str, *, compression: str | None = None) -> None:
+    df.select(F.concat(F.lit("@"), "id", F.lit("\n"), "sequence", F.lit("\n+\n"), "quality").alias("value")).write.text(path, compression=compression)
 
 
 def fastq_stats(df: DataFrame) -> DataFrame:
     n = F.length("sequence")
-    return df.agg(F.count("*").alias("records"), F.sum(n).alias("bases"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.avg(n).alias("avg_length"))
+    return df.agg(F.count("*").alias("records"), F.sum(n).alias("bases"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.avg(n).alias("avg_length"), F.count_if(~F.coalesce(is_valid_fastq(), F.lit(False))).alias("invalid"))
 
 
 def is_valid_fastq():

@@ -87,9 +87,9 @@ def write_annotations(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws("\t", "ref_name", F.col("start").cast("string"), F.col("end").cast("string"), "region_name", "source", F.col("layer").cast("string"), params).alias("value")).write.text(path)
 
 
-def read_loci(spark: SparkSession, path: str, contig: str | None = None) -> DataFrame:
-    """(name, ref_name, start, end, layer 2) of JSON files below ``path`` that have coordinates of the assembly."""
-    d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).schema("name string, coordinates struct<grch38: struct<chr: string, start: long, end: long>>").json(path)
+def read_loci(spark: SparkSession, path: str, contig: str | None = None, *, glob: str = "*.json") -> DataFrame:
+    """(name, ref_name, start, end, layer 2) of JSON files below ``path`` (an object or an array each) that have coordinates of the assembly."""
+    d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("multiLine", True).schema("name string, coordinates struct<grch38: struct<chr: string, start: long, end: long>>").json(path)
     c = d.select("name", F.col("coordinates.grch38.chr").alias("ref_name"), F.col("coordinates.grch38.start").alias("start"), F.col("coordinates.grch38.end").alias("end"), F.lit(2).alias("layer")).filter("end > start")
     return c.filter((F.col("ref_name") == contig) | F.startswith("ref_name", F.lit(f"{contig}:"))) if contig else c
 
@@ -130,6 +130,60 @@ def read_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.schema("cell string, paralog string, value double, read_count long, mean_confidence double").option("sep", sep).option("header", True).option("mode", "DROPMALFORMED").csv(path)
 
 
+def write_dense_matrix(df: DataFrame, path: str, sep: str = ",") -> None:
+    """One row a cell and one column a paralog, absent pairs 0; paralogs are told first, so that no scan looks for them."""
+    names = [r[0] for r in df.select("paralog").distinct().orderBy("paralog").limit(10_001).collect()]
+    if len(names) > 10_000:
+        raise ValueError("a dense matrix may have at most 10,000 paralogs")
+    df.groupBy("cell").pivot("paralog", names).agg(F.sum("value")).na.fill(0.0).write.option("sep", sep).option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a row, absent values as null."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """``src dst weight`` with six digits, each undirected edge once."""
+    edges.filter("src < dst").select(F.concat_ws("\t", F.col("src").cast("string"), F.col("dst").cast("string"), F.format_string("%.6f", "weight")).alias("value")).write.text(path)
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """Symmetric (src, dst, weight) of an edge list; lines that aren't three fields are left out."""
+    p = F.split("value", "\t")
+    one = spark.read.text(path).filter(F.size(p) == 3).select(p[0].cast("long").alias("src"), p[1].cast("long").alias("dst"), p[2].cast("double").alias("weight"))
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+def save(df: DataFrame, path: str, *, by: str | None = None) -> None:
+    """An index, pyramid or graph as Parquet, clustered by the column it is looked up by, so that row groups can be skipped."""
+    (df.repartition(by).sortWithinPartitions(by) if by else df).write.parquet(path)
+
+
+def write_truth(reads: DataFrame, path: str) -> None:
+    """``read_id ref_id start end strand`` of simulated reads, with a header."""
+    strand = F.when(F.col("reverse"), "-").otherwise("+").alias("strand")
+    reads.select("read_id", "ref_id", F.col("true_start").alias("start"), F.col("true_end").alias("end"), strand).write.option("sep", "\t").option("header", True).csv(path)
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("read_id long, ref_id long, start long, end long, strand string").option("sep", "\t").option("header", True).csv(path)
+
+
+def write_matches(calls: DataFrame, path: str) -> None:
+    """Exon-copy calls: read_id, gene, copy, n_exons, strand, ambiguous_gene, ambiguous_copy, tied_copies."""
+    flag = lambda c: F.col(c).cast("int").alias(c)
+    calls.select("read_id", "gene", "copy", "n_exons", F.when(F.col("forward"), "+").otherwise("-").alias("strand"), flag("ambiguous_gene"), flag("ambiguous_copy"), "tied_copies").write.option("sep", "\t").option("header", True).csv(path)
+
+
+def concat_layers(*layers: DataFrame) -> DataFrame:
+    """Annotation layers as one table; a column that a layer lacks is null there."""
+    out = layers[0]
+    for layer in layers[1:]:
+        out = out.unionByName(layer, allowMissingColumns=True)
+    return out
+
+
 def qc_summary_rows(summary: DataFrame) -> DataFrame:
     """(metric, value) rows of a one-row summary."""
     names = summary.columns
