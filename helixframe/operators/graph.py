@@ -132,12 +132,12 @@ def quantised(vectors: np.ndarray, centroids: np.ndarray, books: np.ndarray) ->
     return centroids[own] + np.concatenate([c[likeness(p, c, "l2").argmax(axis=1)] for p, c in zip(parts, books)], axis=1)
 
 
-def knn_ivf(queries: DataFrame, base: DataFrame, k: int, *, lists: int, probes: int, part_rows: int = 4096, pq_parts: int = 0) -> DataFrame:
+def knn_ivf(queries: DataFrame, base: DataFrame, k: int, *, lists: int, probes: int, part_rows: int = 4096, pq_parts: int = 0, again: int = 8) -> DataFrame:
     """Approximate nearest neighbours (cosine) by inverted lists: every base row is indexed, a query meets its nearest lists.
 
     A long list is cut into parts of about ``part_rows`` rows, and a task multiplies the queries of a list by one part of
     it, so an unbalanced list is no hot key. ``pq_parts``: the lists hold vectors as a product quantiser of so many parts
-    keeps them; the nearest 4 k by these are ranked again by the vectors themselves.
+    keeps them; the nearest ``again`` k by these are ranked again by the vectors themselves.
     """
     from .relational import top_k
 
@@ -148,7 +148,7 @@ def knn_ivf(queries: DataFrame, base: DataFrame, k: int, *, lists: int, probes:
     sizes = b.groupBy("list").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))  # one row a list
     b = b.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("list", "part", "id", "vector")
     q = ivf_assign(double(queries), c, probes).join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "id", "vector")
-    more = 4 * k if pq_parts else k
+    more = again * k if pq_parts else k
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -101,10 +101,11 @@ def test_waves_are_the_same_sent_or_joined(spark):
 
 
 def test_levels_stop_at_the_rate_and_tell_rounds(spark):
-    w = spark.createDataFrame([(r, b, 0.98 if b == 0 else 0.02) for r in range(10) for b in (0, 1)], "read_id long, bucket_id long, p double")
-    rounds = []
-    active, done = wave.run_em(w, config=wave.EmConfig(max_rounds=9, epsilon=0.0), stop_rate=0.8, on_round=lambda k, s: rounds.append(k))
-    assert len(rounds) < 9 and done.count() == 10 and active.count() == 0
+    w = spark.createDataFrame([(r, b, 0.5 if r == 9 else 0.998 if b == 0 else 0.002) for r in range(10) for b in (0, 1)], "read_id long, bucket_id long, p double")
+    for rate, n in ((0.8, 1), (None, 3)):
+        rounds = []
+        active, done = wave.run_em(w, config=wave.EmConfig(max_rounds=3, epsilon=-1.0, gamma=0.01), stop_rate=rate, on_round=lambda k, s: rounds.append(k))
+        assert len(rounds) == n and done.count() == 9 and active.select("read_id").distinct().count() == 1
 
 
 def test_a_mapper_that_loses_reads_is_incomplete(spark):
@@ -116,7 +117,7 @@ def test_a_mapper_that_loses_reads_is_incomplete(spark):
 
 
 def test_sizes_are_renumbered(spark):
-    l = spark.createDataFrame([(k, 7 if k < 5 else 3 if k < 7 else k) for k in range(10)], "node long, label long")
+    l = spark.createDataFrame([(k, 7 if k < 5 else 3 if k < 7 else 20 + k) for k in range(10)], "node long, label long")
     got = {r.node: (r.label, r.name) for r in graph.filter_sizes(l, 2, 5).collect()}
     assert {got[k] for k in range(5)} == {(1, "C1")} and {got[k] for k in (5, 6)} == {(0, "C0")} and {got[k] for k in (7, 8, 9)} == {(2, "FILTERED")}
 
