@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grace import decided, folded
-from .shared import arrow, batch_of, numbered, remove, shared_dir, table
+from .shared import arrow, batch_of, numbered, remove, shared_dir, stored, table
 
 DIGESTS = "stored long, payload_digest string"
 RECORDS = "rid long, stored long, page_id long, url string, record_type string, refers_to long, said string, payload_digest string, payload_bytes long"
@@ -159,7 +159,8 @@ def read_records(spark: SparkSession, at: Archive) -> DataFrame:
     A response's digest and size are those of its block; a revisit's are those of the response that holds its payload, and
     must be the digest that its own header names. A record without Page-Id has a null id, one without a url a null url.
     """
-    records = reconstruct(spark, at).mapInArrow(_parsed, RECORDS)
+    # Read several times: what was parsed, without the payloads, is written once.
+    records = stored(reconstruct(spark, at).mapInArrow(_parsed, RECORDS))
     told = records.filter("record_type = 'response'").groupBy("stored").agg(F.first("payload_digest").alias("payload_digest"), F.first("payload_bytes").alias("payload_bytes"))
     visits = records.filter("record_type = 'revisit'").drop("payload_digest", "payload_bytes").withColumn("part", F.shiftright("rid", 16))
     # Revisits that share a payload may be a third of all rows: each run of row numbers fetches its answers once.
