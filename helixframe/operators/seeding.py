@@ -18,13 +18,17 @@ def suppress(index: DataFrame, max_occ: int, key: str = "kmer") -> DataFrame:
     return index.join(occurrences(index, key).filter(F.col("n_occ") <= max_occ).select(key), key, "left_semi")
 
 
-def seed_join(queries: DataFrame, index: DataFrame, *, max_occ: int = 5000, key: str = "kmer", max_hits: int | None = None) -> DataFrame:
+def seed_join(queries: DataFrame, index: DataFrame, *, max_occ: int | None = 5000, key: str = "kmer", max_hits: int | None = None) -> DataFrame:
     """(read_id, ref_id, ref_pos, query_pos, same_strand) for each query minimizer and each posting of its key.
 
-    ``same_strand``: the read's and the reference's k-mers have the same orientation. ``max_hits``: the most hits of a
-    read, those of its first query positions.
+    ``same_strand``: the read's and the reference's k-mers have the same orientation. ``max_occ``: keys with more postings
+    are left out, None: no key is. ``max_hits``: the most hits of a read, those of its first query positions; of a key no
+    more than its first ``max_hits`` postings can be among them, so the others don't meet the reads.
     """
-    i = suppress(index, max_occ, key).select(key, "ref_id", F.col("pos").alias("ref_pos"), F.col("same_strand").alias("_r"))
+    i = index if max_occ is None else suppress(index, max_occ, key)
+    if max_hits is not None:
+        i = top_k(i, [key], [F.col("ref_id"), F.col("pos")], max_hits).drop("rank")
+    i = i.select(key, "ref_id", F.col("pos").alias("ref_pos"), F.col("same_strand").alias("_r"))
     q = queries.select(key, "read_id", F.col("pos").alias("query_pos"), F.col("same_strand").alias("_q"))
     hits = q.join(i, key).select("read_id", "ref_id", "ref_pos", "query_pos", (F.col("_q") == F.col("_r")).alias("same_strand"))
     if max_hits is None:
