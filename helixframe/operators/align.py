@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment as K
 from ..functions import sequence as Q
-from ..runtime import ratio
+from ..runtime import cut, ratio
 from .records import multi_mapq, unique_mapq
 from .seeding import seed_join
 
@@ -48,12 +48,14 @@ def with_windows(chains: DataFrame, refs: DataFrame, offset: str, stop, *, tile:
     """Adds ``window``, the reference from ``offset`` up to ``stop``: tiles of the reference meet the chains, never whole references."""
     tiles = Q.pieces(refs, ["ref_id"], "seq", tile, tile, name="_text").select("ref_id", F.floor(F.col("start") / tile).alias("_tile"), "_text")
     c = chains.withColumn("_stop", stop)
-    need = c.select("read_id", "chain", "ref_id", F.explode(F.sequence(F.floor(F.col(offset) / tile), F.floor((F.col("_stop") - 1) / tile))).alias("_tile"))
+    need = c.select("read_id", "chain", "ref_id", F.col(offset).alias("_from"), "_stop", F.explode(F.sequence(F.floor(F.col(offset) / tile), F.floor((F.col("_stop") - 1) / tile))).alias("_tile"))
     # A chain's tiles: its span over the tile size, plus one.
-    text = need.join(tiles, ["ref_id", "_tile"]).groupBy("read_id", "chain").agg(F.array_sort(F.collect_list(F.struct("_tile", "_text"))).alias("_t"))
+    # Of a tile only the window's part is grouped and joined again.
+    skip = F.greatest(F.lit(0), F.col("_from") - F.col("_tile") * tile).cast("int")
+    part = F.substr("_text", skip + 1, (F.least(F.col("_stop") - F.col("_tile") * tile, F.lit(tile)) - skip).cast("int"))
+    text = need.join(tiles, ["ref_id", "_tile"]).withColumn("_text", part).groupBy("read_id", "chain").agg(F.array_sort(F.collect_list(F.struct("_tile", "_text"))).alias("_t"))
     whole = F.array_join(F.transform("_t", lambda x: x["_text"]), "")
-    j = c.join(text.select("read_id", "chain", whole.alias("_w")), ["read_id", "chain"])
-    return j.withColumn("window", F.substr("_w", (F.col(offset) % tile + 1).cast("int"), (F.col("_stop") - F.col(offset)).cast("int"))).drop("_w", "_stop")
+    return c.join(text.select("read_id", "chain", whole.alias("window")), ["read_id", "chain"]).drop("_stop")
 
 
 def extended(chains: DataFrame, reads: DataFrame, refs: DataFrame, *, most: int = 5, end: int = 500, pad: int = 50, k: int = 15) -> DataFrame:
@@ -84,8 +86,14 @@ def extended(chains: DataFrame, reads: DataFrame, refs: DataFrame, *, most: int
 def align(reads: DataFrame, refs: DataFrame, *, k: int = 15, w: int = 10, max_occ: int = 5000, min_identity: float = 0.8, min_bases: int = 50, config: K.ChainConfig | None = None) -> DataFrame:
     """Alignments that pass identity and length, with mapping quality; ``is_primary``: the read's first passing chain."""
     config = config or K.ChainConfig(k=k)
-    a = extended(chained(hits(reads, refs, k=k, w=w, max_occ=max_occ), config), reads, refs, k=k)
-    passed = a.filter((F.col("identity") >= min_identity) & (F.col("aligned") >= min_bases))
+    # Written once, as a window and a join use the chains: else reads are seeded and chained again for each.
+    chains = cut(chained(hits(reads, refs, k=k, w=w, max_occ=max_occ), config))
+    return passing(extended(chains, reads, refs, k=k), min_identity=min_identity, min_bases=min_bases)
+
+
+def passing(aligned: DataFrame, *, min_identity: float = 0.8, min_bases: int = 50) -> DataFrame:
+    """Extended chains that pass identity and length, with mapping quality and ``is_primary``."""
+    passed = aligned.filter((F.col("identity") >= min_identity) & (F.col("aligned") >= min_bases))
     first = F.min("chain").over(Window.partitionBy("read_id"))
     mapq = F.when(F.col("n_chains") == 1, unique_mapq(F.col("score"), F.greatest(F.col("aligned"), F.lit(1)), F.col("identity"))).otherwise(multi_mapq(F.col("score") - F.col("second"), F.col("n_chains"), F.col("identity")))
     return passed.withColumn("is_primary", F.col("chain") == first).withColumn("mapq", mapq)

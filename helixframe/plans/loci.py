@@ -217,11 +217,12 @@ def align_truth(spark, d):
 def align_stats(spark, d):
     """Counters of the stages: every read has a chain, and none is filtered out."""
     reads, refs = sampled_reads(spark, d).select("read_id", "seq"), genomes(spark, d)
-    found = L.hits(reads, refs)
-    chains = L.chained(found)
-    aligned = L.extended(chains, reads, refs)
+    # Each stage once, though both the counters and the alignments ask for it.
+    found = cut(L.hits(reads, refs))
+    chains = cut(L.chained(found))
+    aligned = cut(L.extended(chains, reads, refs))
     counts = L.stage_counts(found, chains, aligned.filter("chain = 0"))
-    totals = L.alignment_stats(L.align(reads, refs), reads)
+    totals = L.alignment_stats(L.passing(aligned), reads)
     j = totals.join(F.broadcast(counts))
     return j.select("reads", "aligned_reads", q("mean_identity").alias("mean_identity"), q("mapping_rate").alias("mapping_rate"), ((F.col("n_chains") >= F.col("reads")) & (F.col("n_hits") > F.col("n_chains"))).alias("all_chained"), F.col("n_low_identity").cast("int").alias("n_low_identity"))
 
