@@ -135,6 +135,25 @@ def coded_minimizers(df: DataFrame, key: str, seq: str, *, k: int = 11, w: int =
     return out.select(F.col("key").alias(key), F.col("hash").alias("kmer"), "pos", F.col("forward").alias("same_strand"))
 
 
+def minimizer_totals(df: DataFrame, key: str, seq: str, *, k: int = 11, w: int = 5) -> DataFrame:
+    """(key, n, first_pos, last_pos, n_kmers) of each row's minimizers as :func:`coded_minimizers` finds them, without a row for each; rows that have none are left out."""
+    kinds = {"n": pa.int64(), "first_pos": pa.int32(), "last_pos": pa.int32(), "n_kmers": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, told = [], []
+            for i, s in enumerate(b.column(1)):
+                h, pos, _ = minimizers_of((s.as_py() or "").encode(), k, w, None)
+                if len(pos):
+                    rows.append(i)
+                    told.append((len(pos), pos[0], pos[-1], len(np.unique(h))))
+            own = b.column(0).take(pa.array(rows, pa.int64())).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([own, *(pa.array([t[j] for t in told], kind) for j, kind in enumerate(kinds.values()))], names=["key", *kinds])
+
+    out = df.select(key, seq).mapInArrow(run, "key long, n long, first_pos int, last_pos int, n_kmers long")
+    return out.withColumnRenamed("key", key)
+
+
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Base codes (4: none) of all sequences of a batch and their offsets."""
     texts = [(s or "").encode() for s in col.to_pylist()]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ratio
+from ..functions.sequence import coded_minimizers, minimizer_totals
+from ..runtime import cut, ratio
 from .relational import top_k
 
 
@@ -40,3 +41,17 @@ def index_stats(sequences: DataFrame, index: DataFrame, key: str = "kmer") -> Da
     """Distinct keys, minimizers and mean spacing."""
     s = index.agg(F.count_distinct(key).alias("n_keys"), F.count("*").alias("n_minimizers"))
     return s.join(F.broadcast(sequences.agg(F.sum(F.length("seq")).alias("total_bases")))).withColumn("spacing", ratio("total_bases", "n_minimizers"))
+
+
+def minimizer_summary(reads: DataFrame, key: str, seq: str, *, k: int = 11, w: int = 5) -> DataFrame:
+    """(key, n, first_pos, last_pos, n_kmers) of each key with minimizers; n_kmers are the different ones.
+
+    Rows are summed up where they are read. Only keys that several rows have, null among them, take a row for each minimizer.
+    """
+    again = cut(reads.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_again")))
+    if again.isEmpty():
+        return minimizer_totals(reads, key, seq, k=k, w=w)
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    found = coded_minimizers(reads.join(again, same, "left_semi"), key, seq, k=k, w=w).groupBy(key)
+    told = found.agg(F.count("*").alias("n"), F.min("pos").cast("int").alias("first_pos"), F.max("pos").cast("int").alias("last_pos"), F.count_distinct("kmer").alias("n_kmers"))
+    return minimizer_totals(reads.join(again, same, "left_anti"), key, seq, k=k, w=w).unionByName(told)

@@ -36,8 +36,7 @@ def minimizers(spark, d):
 
 @query("read_minimizers", f"WITH {A.READS}, {_kmers('reads', 'read_id', 'm')} SELECT read_id, count(*) AS n, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos, count(DISTINCT kmer) AS n_kmers FROM m GROUP BY 1")
 def read_minimizers(spark, d):
-    m = Q.coded_minimizers(A.reads(spark, d), "read_id", "seq", k=K, w=W)
-    return m.groupBy("read_id").agg(F.count("*").alias("n"), F.min("pos").cast("int").alias("first_pos"), F.max("pos").cast("int").alias("last_pos"), F.count_distinct("kmer").alias("n_kmers"))
+    return S.minimizer_summary(A.reads(spark, d), "read_id", "seq", k=K, w=W)
 
 
 @query("occurrence_filter", f"WITH {A.REFS}, {_kmers('refs', 'ref_id', 'm')}, o AS (SELECT kmer, count(*) AS n_occ FROM m GROUP BY 1) SELECT kmer, n_occ, n_occ <= 2 AS kept FROM o")
