@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,3 +90,53 @@ def walk(df: DataFrame, keys: list[str], cigar: str, start: str, *, most: int =
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(first[row[o]] + at[0][o] + step), pa.array(at[1][o] + step)], names=names)
 
     return df.select(*keys, cigar, F.col(start).cast("long")).mapInArrow(run, schema)
+
+
+def bases_at(df: DataFrame, keys: list[str], site: str, *, most: int = 1 << 22) -> DataFrame:
+    """(keys, site, read_pos, base) of rows (keys, cigar, start, seq, _at, site): the aligned bases at the reference positions ``_at``, an
+    array beside the array of their ``site``.
+
+    As :func:`walk`, but only what is asked for is looked up; texts of about ``most`` characters are held at a time.
+    """
+    names = [*keys, site, "read_pos", "base"]
+    kinds = {f.name: f.dataType for f in df.schema}
+    schema = ", ".join(f"{k} {kinds[k].simpleString()}" for k in keys) + f", {site} {kinds[site].elementType.simpleString()}, read_pos long, base string"
+
+    def some(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size, first = 0, 0
+        for i, (c, s) in enumerate(zip(b.column("cigar").to_pylist(), b.column("seq").to_pylist())):
+            size += len(c or "") + len(s or "")
+            if size > most:
+                yield b.slice(first, i + 1 - first)
+                size, first = 0, i + 1
+        if first < b.num_rows:
+            yield b.slice(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in some(whole)):
+            row, n, op = parsed([(c or "").encode() for c in b.column("cigar").to_pylist()])
+            if not len(row):
+                continue
+            new, at = np.append(True, row[1:] != row[:-1]), []
+            for moves in (np.where(_REF[op], n, 0), np.where(_QUERY[op], n, 0)):
+                before = np.cumsum(moves) - moves
+                at.append(before - np.maximum.accumulate(np.where(new, before, 0)))
+            own = np.flatnonzero(_BASE[op] & (n > 0))
+            if not len(own):
+                continue
+            asked = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("_at")).to_numpy(zero_copy_only=False))
+            pos = b.column("_at").flatten().to_numpy(zero_copy_only=False) - b.column("start").fill_null(0).to_numpy(zero_copy_only=False)[asked]
+            wide = max(int((at[0][own] + n[own]).max()), int(pos.max(initial=0))) + 1
+            o = own[np.maximum(np.searchsorted(row[own] * wide + at[0][own], asked * wide + pos, side="right") - 1, 0)]
+            step = pos - at[0][o]
+            texts = [s or "" for s in b.column("seq").to_pylist()]
+            length = np.array([len(s) for s in texts])
+            begin = np.cumsum(length) - length
+            read_pos = at[1][o] + step
+            hit = np.flatnonzero((row[o] == asked) & (step >= 0) & (step < n[o]) & (read_pos < length[asked]))
+            letter = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)[begin[asked[hit]] + read_pos[hit]]
+            seen, which = np.unique(letter, return_inverse=True)
+            base = pa.array([chr(x) for x in seen], pa.string()).take(pa.array(which))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(asked[hit])) for k in keys), b.column(site).flatten().take(pa.array(hit)), pa.array(read_pos[hit]), base], names=names)
+
+    return df.select(*keys, "cigar", "start", "seq", "_at", site).mapInArrow(run, schema)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cigar import walk
+from ..functions.cigar import bases_at
 from ..functions.sequence import code_of, hamming, kmers, seeds_in
 from ..runtime import bounded
 from .relational import points_in_intervals, softmax
@@ -82,17 +82,19 @@ def sites_in(spans: DataFrame, sites: DataFrame, *, on: str = "chrom") -> DataFr
     return points_in_intervals(sites, spans.withColumn("_end", F.col("end") + 1), on=[on], end="_end").drop("_end")
 
 
-def observations(hits: DataFrame, sites: DataFrame, *, quality: int = 30) -> DataFrame:
+def observations(hits: DataFrame, sites: DataFrame, *, quality: int = 30, width: int = 256) -> DataFrame:
     """(read_id, hit, psv_id, base, read_pos, base_quality): the bases that alignments have at variant sites.
 
-    ``hits``: (read_id, hit, chrom, start, end, cigar, seq), ``sites``: (psv_id, chrom, pos), one row a site. Only hits
-    that span a site are walked; a deleted site gives nothing.
+    ``hits``: (read_id, hit, chrom, start, end, cigar, seq), ``sites``: (psv_id, chrom, pos), one row a site. A hit meets
+    the lists of the bins of ``width`` that it touches, so it is shuffled once for each and its bases are not; a deleted
+    site gives nothing.
     """
-    spanned = sites_in(hits.select("read_id", "hit", "chrom", "start", "end"), sites.select("psv_id", "chrom", "pos")).select("read_id", "hit", "psv_id", "pos")
-    walked = walk(hits.join(spanned.select("read_id", "hit").distinct(), ["read_id", "hit"], "left_semi"), ["read_id", "hit"], "cigar", "start")
-    at = spanned.join(walked, (spanned["read_id"] == walked["read_id"]) & (spanned["hit"] == walked["hit"]) & (spanned["pos"] == walked["ref_pos"])).select(spanned["read_id"], spanned["hit"], "psv_id", "read_pos")
-    seen = at.join(hits.select("read_id", "hit", "seq"), ["read_id", "hit"]).withColumn("base", F.substr("seq", (F.col("read_pos") + 1).cast("int"), F.lit(1)))
-    return seen.filter(F.col("base") != "").select("read_id", "hit", "psv_id", "base", "read_pos", F.lit(quality).alias("base_quality"))
+    lists = sites.filter("pos is not null").groupBy("chrom", F.floor(F.col("pos") / width).alias("_bin")).agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "psv_id")).alias("_sites"))  # a bin has at most ``width`` places
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
+    met = hits.filter("end >= start").select("read_id", "hit", "chrom", "start", "end", "cigar", "seq", bins.alias("_bin")).join(lists, ["chrom", "_bin"])
+    inside = F.filter("_sites", lambda x: x["pos"].between(F.col("start"), F.col("end")))
+    met = met.select("read_id", "hit", "cigar", F.col("start").cast("long").alias("start"), "seq", F.transform(inside, lambda x: x["pos"]).alias("_at"), F.transform(inside, lambda x: x["psv_id"]).alias("psv_id")).filter(F.size("_at") > 0)
+    return bases_at(met, ["read_id", "hit"], "psv_id").select("read_id", "hit", "psv_id", "base", "read_pos", F.lit(quality).alias("base_quality"))
 
 
 def updated_calls(called: DataFrame, posterior: DataFrame, *, weight: float = 0.5) -> DataFrame:
